@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import mixing, quality_rules, sharding, url_filters
-from quarrystone.llm.common import read_table
+from quarrystone.llm import chat_format, decontaminate, jaccard_join, language_model, mixing, quality_rules, sharding, token_counts, toxicity, url_filters
+from quarrystone.llm.common import id_crc32, read_table
+from quarrystone.llm.tokenizer import Vocabulary
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -17,6 +18,17 @@ URL_RULES = [
 ]
 
 
+#: A conversation whose texts hold the template's control strings.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), learn=id_crc32(F.col("__id")) % 5 != 0)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (id_crc32(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many tokens as the corpus has, no source more than four times over."""
     docs = read_table(spark, sf_dir, "documents")
@@ -30,16 +42,39 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col(f"{quality_rules.ROW}.doc_id").alias("doc_id"), *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read_table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_sections(read_table(spark, sf_dir, "documents"), Vocabulary(spark), rule="most")
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    vocabulary = Vocabulary(spark)
+    return chat_format.digests(chat_format.format_turns(turns.unionByName(more), vocabulary), vocabulary)
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), 8)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mixing, op3_quality_rules, op8_url_filters, op10_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality_rules, op4_jaccard_join, op5_lm_scoring, op6_token_counts, op7_chat_format, op8_url_filters, op9_decontaminate, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
