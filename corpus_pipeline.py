@@ -7,8 +7,9 @@ Parquet and read again as the next one's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrystone.llm import mixing, quality_rules, sharding
+from quarrystone.llm import decontaminate, jaccard_join, mixing, quality_rules, sharding
 from quarrystone.llm.common import ROW, read_table, stored
 
 
@@ -18,6 +19,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).where("kept").select(f"{ROW}.*")
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id isn't in the stored (id); ids are broadcast while they are few."""
+    few = ids.count() <= jaccard_join.BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by similar sets of five-word shingles the smallest doc_id stays, once."""
+    found = stored(jaccard_join.join(docs), "groups")
+    out = _without(docs, stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "copies"))
+    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("id"))
+    again = stored(again, "repeated")
+    if not again.take(1):
+        return out
+    repeated = out.join(again, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    return _without(out, again).unionByName(repeated)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, edits and all, go."""
+    hits = decontaminate.matches(docs, read_table(spark, sf_dir, "benchmark"))
+    return _without(docs, stored(hits.select(F.col("doc_id").alias("id")).distinct(), "leaks"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources come up to twice; every document stays at least once."""
     return mixing.mix(docs, mixing.Target(most_repeats=2.0)).select(f"{ROW}.*")
@@ -29,6 +54,8 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
     ("mixing", mixed),
     ("sharding", sharded),
 ]
