@@ -55,6 +55,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": without(SYMBOLS).cast("long"), "n_marks": without("!?"), "n_digits": without("0-9"),
         "n_upper": without(r"\p{Lu}"),
     })
+    # A generator between: else a filter on the figures is pushed below them, and what
+    # is computed once per text there is computed anew for each word.
+    figures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_digits", "n_upper", "n_distinct", "n_lines", "n_short"]
+    d = d.select(ROW, F.explode(F.array(F.struct(*figures))).alias("of")).select(ROW, "of.*")
     per = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("double")
     return d.select(
         ROW, *BASE,
