@@ -42,7 +42,7 @@ def throttled(d: DataFrame, who: str, at: str, seconds: int = 60, most: int = 5)
 def rolling(d: DataFrame, value: str, at: str, *ties: str, rows: int = 5000) -> DataFrame:
     """Average and largest of the last rows up to each, per day, so that a day is a window's most."""
     w = Window.partitionBy(F.to_date(at)).orderBy(at, *ties).rowsBetween(-(rows - 1), 0)
-    return d.withColumns({"rolling_avg": F.round(F.avg(value).over(w), 3), "rolling_max": F.round(F.max(value).over(w), 3)})
+    return d.withColumns({"rolling_avg": F.round(F.avg(value).over(w), 8), "rolling_max": F.round(F.max(value).over(w), 8)})
 
 
 def role_lines(d: DataFrame) -> DataFrame:

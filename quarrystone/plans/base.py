@@ -18,7 +18,7 @@ def query(name: str, sql: str | None = None):
     """Registers a query, and the SQL that it is held against."""
 
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: _widened(f(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return f
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _widened(d: DataFrame) -> DataFrame:
+    """Whole numbers as bigint, as SQL counts and ranks have them."""
+    return d.select(*[F.col(c).cast("long") if t == "int" else F.col(c) for c, t in d.dtypes])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,7 +53,7 @@ PAPERS_SQL = f"""papers AS (
 
 
 def tokens_sql(col: str) -> str:
-    return rf"list_filter(string_split_regex(regexp_replace(lower({col}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), x -> x <> '')"
+    return rf"list_filter(string_split_regex(regexp_replace(lower({col}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+'), lambda x: x <> '')"
 
 
 #: Index tables and scores of questions (qid, text) over documents.
@@ -66,15 +71,12 @@ def scores_sql(questions: str, keys: str = "qid") -> str:
   JOIN postings USING (term) JOIN terms USING (term) JOIN lens USING (doc_id), stats GROUP BY {keys}, doc_id)"""
 
 
-INTENT_RULES: list[tuple[str, str]] = []
-
-
 def intent_sql(col: str) -> str:
     from quarrystone import config
     from quarrystone.functions.query import any_of
 
     rules = " ".join(f"WHEN regexp_matches(trim({col}), '{any_of(p)}') THEN '{i}'" for i, p in config.INTENT_PHRASES)
-    return rf"CASE {rules} WHEN trim({col}) LIKE '%?' AND len(list_filter(string_split_regex(trim({col}), '\s+'), x -> x <> '')) <= 8 THEN 'explanatory' ELSE 'discovery' END"
+    return rf"CASE {rules} WHEN trim({col}) LIKE '%?' AND len(list_filter(string_split_regex(trim({col}), '\s+'), lambda x: x <> '')) <= 8 THEN 'explanatory' ELSE 'discovery' END"
 
 
 def budget_sql(intent: str, field: str) -> str:

@@ -109,11 +109,11 @@ parents AS (SELECT label, list(x / norm ORDER BY i) AS v FROM means JOIN norms U
 @query(
     "parent_child_expand",
     f"""WITH {CENTROIDS}, {DENSE},
-docs AS (SELECT a.vec_id AS qid, label, round(list_dot_product(a.embedding::DOUBLE[], v), 6) AS score FROM embeddings a, parents WHERE a.vec_id < 40),
+docs AS (SELECT a.vec_id AS qid, parents.label, round(list_dot_product(a.embedding::DOUBLE[], v), 6) AS score FROM embeddings a, parents WHERE a.vec_id < 40),
 top AS {rank_sql('docs', '5', 'label')},
 kids AS (SELECT top.qid, label, vec_id, round(greatest(1e-6, top.score) * greatest(1e-6, dense.score), 6) AS score, row_number() OVER (PARTITION BY top.qid, label ORDER BY dense.score DESC, vec_id) AS nth
   FROM top JOIN embeddings USING (label) JOIN dense USING (qid, vec_id))
-SELECT qid, label, vec_id, score FROM kids WHERE nth <= 10""",
+SELECT qid, label::BIGINT AS label, vec_id, score FROM kids WHERE nth <= 10""",
 )
 def parent_child(spark, sf_dir):
     """Best parents, and of each its ten best chunks; scores multiply."""
@@ -136,7 +136,7 @@ def parent_child(spark, sf_dir):
 near AS (SELECT label AS qid, vec_id, e.label AS paper, round(list_dot_product(e.embedding::DOUBLE[], p.v), 6) AS score FROM (SELECT label, v FROM parents) p, embeddings e WHERE e.label <> p.label),
 hundred AS {rank_sql('(SELECT qid, vec_id, paper, score FROM near)', '100', 'vec_id')},
 firsts AS (SELECT qid, paper, max(score) AS score FROM hundred GROUP BY ALL)
-SELECT qid, paper, round(score, 4) AS similarity, rank FROM {rank_sql('firsts', '5', 'paper')}""".replace("SELECT label AS qid, vec_id", "SELECT p.label AS qid, vec_id"),
+SELECT qid::BIGINT AS qid, paper::BIGINT AS paper, round(score, 4) AS similarity, rank FROM {rank_sql('firsts', '5', 'paper')}""".replace("SELECT label AS qid, vec_id", "SELECT p.label AS qid, vec_id"),
 )
 def similar_papers(spark, sf_dir):
     """From the hundred chunks nearest to a paper's mean vector, others' best by paper."""
@@ -219,11 +219,11 @@ def _factors() -> str:
     return "CASE " + " ".join(rows) + " ELSE 1.0 END"
 
 
-@query("section_recency_boost", f"WITH {POOL} SELECT qid, doc_id, round((100 * score * ({_factors()})::DOUBLE * CASE WHEN intent = 'sota' AND published >= DATE '2025-06-01' - 540 THEN 1.25 ELSE 1.0 END::DOUBLE), 5) AS score FROM pool")
+@query("section_recency_boost", f"WITH {POOL} SELECT qid, doc_id, round((100 * score * ({_factors()})::DOUBLE * CASE WHEN intent = 'sota' AND published >= DATE '2025-06-01' - 540 THEN 1.25 ELSE 1.0 END::DOUBLE), 10) AS score FROM pool")
 def section_recency(spark, sf_dir):
     d = pool(spark, sf_dir)
     factor = fusion.section_factor(F.col("section"), F.col("intent")) * fusion.recency_factor(F.col("published"), F.col("intent"), "2025-06-01")
-    return d.select("qid", "doc_id", F.round(100 * F.col("score") * factor, 5).alias("score"))
+    return d.select("qid", "doc_id", F.round(100 * F.col("score") * factor, 10).alias("score"))
 
 
 @query("year_filter", f"WITH {POOL} SELECT qid, doc_id, rank FROM pool WHERE paper_id <> '' AND (doc_id % 7 = 0 OR year(published) >= 2020)")
@@ -234,9 +234,9 @@ def year_filter(spark, sf_dir):
 @query(
     "citation_boost",
     f"""WITH {POOL}, edges AS (SELECT DISTINCT l_suppkey % 1000 AS source, l_partkey % 1000 AS target FROM lineitem),
-both AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges),
+ways AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges),
 seeds AS (SELECT DISTINCT qid, doc_id FROM pool WHERE rank <= 25),
-near AS (SELECT DISTINCT qid, target AS doc_id FROM seeds JOIN both ON doc_id = source EXCEPT SELECT qid, doc_id FROM seeds)
+near AS (SELECT DISTINCT qid, target AS doc_id FROM seeds JOIN ways ON doc_id = source EXCEPT SELECT qid, doc_id FROM seeds)
 SELECT qid, doc_id, round(score + CASE WHEN near.doc_id IS NOT NULL AND intent NOT IN ('technical', 'evidence', 'explanatory') THEN 0.004 ELSE 0 END, 6) AS score FROM pool LEFT JOIN near USING (qid, doc_id)""",
 )
 def citation_boost(spark, sf_dir):
@@ -288,7 +288,7 @@ def result_analytics(spark, sf_dir):
     return reports.result_analytics(pool(spark, sf_dir).withColumn("authors", F.col("paper_id")))
 
 
-TAKE = "list_filter(string_split_regex(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), x -> true)"
+TAKE = "list_filter(string_split_regex(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: true)"
 
 
 @query(
@@ -365,7 +365,7 @@ def literal_questions(spark):
 
 
 _VALUES = ", ".join(f"({k}, '{t}')" for k, t in enumerate(LITERALS))
-LITERAL_SQL = f"questions(qid, text) AS (VALUES {_VALUES})"
+LITERAL_SQL = f"questions AS (SELECT qid::BIGINT AS qid, text FROM (VALUES {_VALUES}) AS t(qid, text))"
 
 
 @query(
@@ -386,7 +386,7 @@ def query_decompose(spark, sf_dir):
     return d.select("qid", F.posexplode(variants_of(F.col("text"), F.col("intent"))).alias("place", "variant"))
 
 
-@query("grounding_check", "WITH pairs AS (SELECT a.conv_id, a.turn, lower(a.text) AS answer, lower(b.text) AS context FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'), w AS (SELECT *, list_distinct(regexp_extract_all(answer, '[a-z]{6,}')) AS words FROM pairs) SELECT conv_id, turn, round(CASE WHEN len(words) > 0 THEN len(list_filter(words, x -> contains(context, x))) / len(words) ELSE 1 END, 4) AS share, CASE WHEN len(words) > 0 THEN len(list_filter(words, x -> contains(context, x))) / len(words) ELSE 1 END < 0.25 AS warned FROM w")
+@query("grounding_check", "WITH pairs AS (SELECT a.conv_id, a.turn, lower(a.text) AS answer, lower(b.text) AS context FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'), w AS (SELECT *, list_distinct(regexp_extract_all(answer, '[a-z]{6,}')) AS words FROM pairs) SELECT conv_id, turn, round(CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: contains(context, x))) / len(words) ELSE 1 END, 4) AS share, CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: contains(context, x))) / len(words) ELSE 1 END < 0.25 AS warned FROM w")
 def grounding_check(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))

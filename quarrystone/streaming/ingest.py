@@ -44,7 +44,7 @@ def windowed(events: DataFrame, at: str = "ts", value: str = "value", size: str
     for a table and for a stream, which drops what comes later than ``late``."""
     d = events.withWatermark(at, late) if late and events.isStreaming else events
     w = F.window(at, size, slide) if slide else F.window(at, size)
-    a = d.groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 4).alias("avg_value"), F.round(F.max(value), 4).alias("max_value"))
+    a = d.groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 8).alias("avg_value"), F.round(F.max(value), 8).alias("max_value"))
     return a.select(F.col("w.start").alias("start"), *by, "n", "avg_value", "max_value")
 
 
