@@ -57,6 +57,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a frame made by ``stored`` that nothing needs any more."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:  # none if the frame has no rows
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
