@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import lexical_tokens
+from quarrystone.sources.shared import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -27,14 +28,17 @@ class Index:
 
 
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+    """Texts are tokenized once; tokens and postings are stored, as all else is made of them."""
     tokens = docs.select(F.col(doc_id).alias("doc_id"), lexical_tokens(F.col(text)).alias("tokens"))
+    tokens = stored(tokens, "tokens")
     postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = stored(postings, "postings")
     lengths = tokens.select("doc_id", F.size("tokens").cast("long").alias("len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
     raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), F.lit(True))
     raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    terms = stored(raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")), "terms")
     return Index(postings, lengths, terms, stats)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4 as uuid_of
+
 from pyspark.sql import functions as F
 
 from quarrystone import config
 from quarrystone.functions import text as tx
 from quarrystone.operators import chat, chunking, fusion, reports, tables
-from quarrystone.plans.base import PAPERS_SQL, papers, query, table, tokens_sql
+from quarrystone.plans.base import ORACLES, PAPERS_SQL, papers, query, table, tokens_sql
+from quarrystone.sources.shared import shared_dir
 from quarrystone.streaming import ingest
 
 T = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
@@ -352,3 +355,33 @@ def quantize_int8(spark, sf_dir):
     from quarrystone.operators.dense import quantized
 
     return quantized(table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))).select("vec_id", F.round("scale", 8).alias("scale"))
+
+
+def events_stream(spark, sf_dir):
+    """A pattern, as a stream of files takes a single file for none."""
+    return ingest.stream_table(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema)
+
+
+@query("stream_windows", ORACLES["windows_tumbling"])
+def stream_windows(spark, sf_dir):
+    """The same windows from a stream, run until its input is used up."""
+    s = events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"windows_{uuid_of().hex}"
+    d = ingest.collected(lambda: ingest.windowed(s, "ts", "value", "6 hours", None, "1 day", "event_type"), name, "complete")
+    return d.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_ingest", ORACLES["chunk_token_windows"])
+def stream_ingest(spark, sf_dir):
+    """Chunks by batches of a file stream, each written under its number."""
+    out = f"{shared_dir(spark)}/{uuid_of().hex}"
+    s = ingest.stream_table(spark, f"{sf_dir}/documents.parque[t]", table(spark, sf_dir, "documents").schema)
+    ingest.ingest(s, f"{out}/chunks", f"{out}/checkpoint").awaitTermination()
+    return ingest.ingested(spark, f"{out}/chunks")
+
+
+@query("job_state", "WITH e AS (SELECT user_id, max(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS failed, count(*) AS n, min(event_id) FILTER (event_type = 'signup') AS at FROM events GROUP BY 1), b AS (SELECT e.user_id, failed, n, (SELECT count(*) FROM events x WHERE x.user_id = e.user_id AND (e.at IS NULL OR x.event_id < e.at)) AS before FROM e) SELECT user_id AS job_id, CASE WHEN before >= 4 THEN 'done' WHEN failed = 1 THEN 'failed' ELSE ['queued', 'downloading', 'chunking', 'embedding'][before + 1] END AS state FROM b")
+def job_state(spark, sf_dir):
+    """Jobs' states from their events: a sign-up stands for a failure, all else for progress."""
+    e = events_stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "fail").otherwise("advance").alias("event"))
+    return ingest.collected(lambda: ingest.job_states(e), f"jobs_{uuid_of().hex}", "update")

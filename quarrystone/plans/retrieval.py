@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.query import gate_of, intent_of, is_summary, variants_of
 from quarrystone.functions.text import grounding_share
 from quarrystone.operators import context as packing
 from quarrystone.operators import dense, fusion, lexical, reports
+from quarrystone.plans import retrieve as whole
 from quarrystone.plans.base import BM25_SQL, PAPERS_SQL, budget_sql, intent_sql, papers, query, scores_sql, table, tokens_sql
 
 
@@ -122,8 +124,6 @@ def parent_child(spark, sf_dir):
     kids = top.join(v, "label").join(F.broadcast(q), "qid")
     dot = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
     kids = kids.select("qid", "label", "vec_id", "parent", F.round(dot, 6).alias("own"))
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("qid", "label").orderBy(F.desc("own"), "vec_id"))
     kids = kids.withColumn("nth", nth).where("nth <= 10")
     least = lambda c: F.greatest(F.lit(1e-6), F.col(c))
@@ -144,8 +144,6 @@ def similar_papers(spark, sf_dir):
     q = dense.centroids(v, "label").select(F.col("label").alias("qid"), "vector")
     own = v.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     found = dense.top(v, q, 100 + own).join(v.select("vec_id", F.col("label").alias("paper")), "vec_id").where("paper <> qid")
-    from pyspark.sql import Window
-
     again = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
     firsts = found.withColumn("again", again).where("again <= 100").groupBy("qid", "paper").agg(F.max("score").alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "paper")
@@ -253,8 +251,6 @@ flags AS (SELECT *, max(CASE WHEN rank <= 5 AND base THEN 1 ELSE 0 END) OVER (PA
 SELECT qid, doc_id, rank FROM flags WHERE CASE WHEN has = 0 AND best IS NOT NULL THEN rank < size OR rank = best ELSE rank <= 5 END""",
 )
 def layer_coverage(spark, sf_dir):
-    from pyspark.sql import Window
-
     d = pool(spark, sf_dir).where("doc_id % 5 <> 0 or rank > 10")
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
     return fusion.with_foundation(d, 5).select("qid", "doc_id", "rank")
@@ -386,6 +382,29 @@ def query_decompose(spark, sf_dir):
     return d.select("qid", F.posexplode(variants_of(F.col("text"), F.col("intent"))).alias("place", "variant"))
 
 
+def corpus_of(spark, sf_dir) -> whole.Corpus:
+    p = papers(spark, sf_dir)
+    chunks = p.select("doc_id", F.col("authors").alias("paper_id"), "title", "authors", "categories", "published", "layer", F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), (F.col("doc_id") % len(SECTIONS) + 1).cast("int")).alias("section"), "text")
+    vectors = whole.encoded(p.select("doc_id", "text"), name="embedding").select("doc_id", "embedding")
+    return whole.Corpus(chunks, vectors, index_of(spark, sf_dir))
+
+
+@query("retrieve_full")
+def retrieve_full(spark, sf_dir):
+    """The whole way to passages, with the default encoder and reranker: no SQL states its greedy steps."""
+    return whole.retrieve(corpus_of(spark, sf_dir), questions(spark, sf_dir), as_of="2025-06-01")
+
+
+@query("retrieve_filtered")
+def retrieve_filtered(spark, sf_dir):
+    return whole.retrieve(corpus_of(spark, sf_dir), questions(spark, sf_dir), as_of="2025-06-01", filters=whole.Filters(category="en", start_year=2016))
+
+
+@query("ablation_variants")
+def ablation_variants(spark, sf_dir):
+    return whole.ablation(corpus_of(spark, sf_dir), questions(spark, sf_dir), ["dense_only", "bm25_only", "hybrid_rrf", "hybrid_reranker"], as_of="2025-06-01", top_n=5)
+
+
 @query("grounding_check", "WITH pairs AS (SELECT a.conv_id, a.turn, lower(a.text) AS answer, lower(b.text) AS context FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'), w AS (SELECT *, list_distinct(regexp_extract_all(answer, '[a-z]{6,}')) AS words FROM pairs) SELECT conv_id, turn, round(CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: contains(context, x))) / len(words) ELSE 1 END, 4) AS share, CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: contains(context, x))) / len(words) ELSE 1 END < 0.25 AS warned FROM w")
 def grounding_check(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
