@@ -88,6 +88,8 @@ def test_jaccard_join(spark, k, percent):
 
 
 def test_jaccard_join_of_nothing(spark):
+    lost = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (None, None)], "doc_id long, text string")
+    assert Counter(tuple(r[1:3]) for r in jaccard_join.join(lost, k=3, percent=90).collect()) == Counter([(2, None), (2, 3), (0, None)])
     assert jaccard_join.join(docs_of(spark, ODD).limit(0)).count() == 0
 
 
