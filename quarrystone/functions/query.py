@@ -46,7 +46,7 @@ def variants_of(query: Column, intent: Column, scoped: bool = False, most: int =
     for name, words in config.VARIANT_SUFFIXES.items():
         by_intent = F.when(intent == name, ext(words)).otherwise(by_intent)
     summary = F.when(is_summary(q), F.concat(ext(config.SUMMARY_SUFFIXES), F.array(F.lit("main contributions")))).otherwise(none)
-    sides = F.filter(F.transform(F.split(q, r"(?i)\bvs\.?\b|\bversus\b", 2), F.trim), lambda x: x != "")
+    sides = F.filter(F.transform(F.split(q, r"(?i)\bvs\.?\b|\bversus\b", 2), lambda x: F.trim(x)), lambda x: x != "")
     versus = F.when((intent == config.COMPARATIVE) & F.contains(F.lower(q), F.lit(" vs ")), sides).otherwise(none)
     own = F.array(F.concat(q, F.lit(" in this paper"))) if scoped else none
     every = F.concat(F.array(q), by_intent, summary, versus, own)
