@@ -88,8 +88,9 @@ def plan(slim: DataFrame, target: Target) -> DataFrame:
     """From stored (src, tokens, id): a row per source with passes, the number of whole
     ones, and cut_block and cut_place, up to where the last pass goes."""
     totals = slim.groupBy("src").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
-    whole = totals.agg(F.sum("tokens").alias("all"))
-    totals = stored(totals.join(F.broadcast(whole)).withColumn("share", F.col("tokens") / F.col("all")), "sources")
+    totals = stored(totals, "totals")
+    whole = totals.agg(F.sum("tokens")).first()[0] or 0
+    totals = totals.withColumn("share", F.col("tokens") / F.lit(float(max(whole, 1))))
     alpha, z, budget = find_alpha(totals, target)
     weight = F.when(F.col("tokens") > 0, F.exp(F.lit(alpha) * F.log("share")) / F.lit(z)).otherwise(0.0)
     due = F.round(F.lit(float(budget)) * F.col("weight")).cast("long")
