@@ -58,7 +58,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
     vocabulary = Vocabulary(spark)
-    return chat_format.digests(chat_format.format_turns(turns.unionByName(more), vocabulary), vocabulary)
+    return chat_format.digests(chat_format.format_turns(turns.unionByName(more), vocabulary), vocabulary).drop("n_tokens")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +77,23 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality_rules, op4_jaccard_join, op5_lm_scoring, op6_token_counts, op7_chat_format, op8_url_filters, op9_decontaminate, op10_sharding)}
 
 
+OP4_SQL = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM words),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM members a JOIN members b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT doc_id, doc_id AS node FROM sets UNION SELECT doc_id, b FROM reached JOIN links ON node = a),
+least AS (SELECT doc_id, min(node) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, CASE WHEN len(s) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY s) END::BIGINT AS n_copies FROM sets JOIN least USING (doc_id)"""
+
+OP7_SQL = r"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+shown AS (SELECT *, length(regexp_replace(regexp_replace(role, '(\\*)(### |: |</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')) AS r,
+  length(regexp_replace(regexp_replace(text, '(\\*)(### |</turn>)', '\1\1\\\2', 'g'), '(\\+)$', '\1\1')) AS t FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(4 + r + 2 + t + 8)::BIGINT AS formatted_chars FROM shown GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_jaccard_join": OP4_SQL, "op7_chat_format": OP7_SQL}
