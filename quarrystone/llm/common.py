@@ -54,6 +54,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that go to a Python worker at once, at most: a batch is held several times over.
+BATCH_ROWS = 256
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session sends Python workers at most BATCH_ROWS rows at once from now on."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, BATCH_ROWS)
+    return df
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a frame made by ``stored`` that nothing needs any more."""
     spark = df.sparkSession

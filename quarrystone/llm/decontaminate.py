@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm.common import in_small_batches
+
 #: Characters of items per pass: bounds the automaton and its broadcast.
 PASS_CHARS = 2_000_000
 
@@ -137,7 +139,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, doc_id
         raise ValueError(f"test items have {size} characters; the bound is {most_chars}")
     items = sorted((i, normalise(x)) for i, x in benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), t).collect())
     kind = docs.schema[doc_id].dataType.simpleString()
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
+    d = in_small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")))
     sc, out = docs.sparkSession.sparkContext, None
     for part in _passes(items):
         shared = sc.broadcast((part, rate))
