@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Numbers in the questions' matrix at most: what is broadcast to workers.
 MOST_NUMBERS = 32_000_000
 BLOCK = 4096
+#: Questions that a block is multiplied with at once.
+ASKED = 512
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -43,12 +45,15 @@ def top(vectors: DataFrame, questions: DataFrame, k: int, *, key: str = "vec_id"
                 if not len(ids):
                     return
                 x = _matrix(batch.column("v"))
-                s = np.round((normalized(x) if cosine else x) @ against.T, digits)
+                x = normalized(x) if cosine else x
                 keep = min(k, len(x))
                 keys = batch.column("k").to_numpy()
-                order = np.lexsort((np.broadcast_to(keys[:, None], s.shape), -s), axis=0)[:keep]
-                col = np.broadcast_to(np.arange(len(ids)), order.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[col.ravel()]), pa.array(keys[order.ravel()]), pa.array(s[order, col].ravel())], ["qid", "k", "score"])
+                for first in range(0, len(ids), ASKED):
+                    some = ids[first : first + ASKED]
+                    s = np.round(x @ against[first : first + ASKED].T, digits)
+                    order = np.lexsort((np.broadcast_to(keys[:, None], s.shape), -s), axis=0)[:keep]
+                    col = np.broadcast_to(np.arange(len(some)), order.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[col.ravel()]), pa.array(keys[order.ravel()]), pa.array(s[order, col].ravel())], ["qid", "k", "score"])
 
     kind = questions.schema[qid].dataType.simpleString()
     part = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(blocks, f"qid {kind}, k {kinds[key]}, score double")

@@ -83,6 +83,12 @@ def asked(spark, sf_dir, most: int = 40):
     return vectors(spark, sf_dir).where(F.col("vec_id") < most).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
+def asked_by_items(spark, sf_dir):
+    """The vector of every question of the benchmark: that of its own id."""
+    q = questions(spark, sf_dir).select("qid").distinct()
+    return vectors(spark, sf_dir).withColumnRenamed("vec_id", "qid").join(F.broadcast(q), "qid", "left_semi").select("qid", F.col("embedding").alias("vector"))
+
+
 DOT = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
 DENSE = f"dense AS (SELECT a.vec_id AS qid, b.vec_id, {DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 40)"
 
@@ -154,7 +160,7 @@ def arms(spark, sf_dir):
     """Lexical and dense ranks of each question over documents; a document's vector is its own id's."""
     q = questions(spark, sf_dir)
     lex = lexical.top(index_of(spark, sf_dir), q, 60)
-    d = dense.top(vectors(spark, sf_dir), asked(spark, sf_dir), 60).withColumnRenamed("vec_id", "doc_id")
+    d = dense.top(vectors(spark, sf_dir), asked_by_items(spark, sf_dir), 60).withColumnRenamed("vec_id", "doc_id")
     return d, lex, q.select("qid", intent_of(F.col("text")).alias("intent"), is_summary(F.col("text")).alias("summary"))
 
 

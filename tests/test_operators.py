@@ -15,7 +15,7 @@ from quarrystone import config
 from quarrystone.functions import query as qx
 from quarrystone.functions import text as tx
 from quarrystone.operators import chunking, context, dense, fusion, lexical, reports, tables
-from quarrystone.plans import rebuild, retrieve
+from quarrystone.plans import rebuild, retrieval, retrieve
 from quarrystone.sources import files
 from quarrystone.sources.paged import SavedPages
 from quarrystone.streaming import ingest
@@ -178,6 +178,26 @@ def test_per_paper_cap_and_dense_filter_never_leak(spark):
     assert dense.top(v, q.limit(0), 5).count() == 0
 
 
+def test_every_question_has_a_dense_arm(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-9, 10, (130, 4)).astype(float)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"word{i} common") for i in range(90)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"word{i} other") for i in range(130)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["qid"], r["rank"]): (r["doc_id"], r["score"]) for r in retrieval.arms(spark, str(tmp_path))[0].collect()}
+    dots = x[:90] @ x.T
+    best = {q: sorted(range(130), key=lambda d: (-dots[q, d], d))[:60] for q in range(90)}
+    assert got == {(q, k + 1): (d, dots[q, d]) for q, ds in best.items() for k, d in enumerate(ds)}
+
+
+def test_dense_top_asks_in_parts(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(50)], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(i, [1.0, i / 8]) for i in range(20)], "qid long, vector array<float>")
+    whole = sorted(dense.top(v, q, 9).collect())
+    monkeypatch.setattr(dense, "ASKED", 3)
+    assert sorted(dense.top(v, q, 9).collect()) == whole and {r["qid"] for r in whole} == set(range(20))
+
+
 def test_plans_keep_their_shape(spark):
     v = spark.createDataFrame([(i, "a b", "en") for i in range(5)], "doc_id long, text string, lang string")
     q = spark.createDataFrame([(0, "a")], "qid long, text string")
