@@ -1,14 +1,14 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts.
-
-Word counts are exact and a distributed table.  The model is a bigram model over the
-``classes`` most frequent words and one class for all others, so its n-grams are at
-most classes squared: what goes to the workers has a bound that no corpus exceeds.
-A count is quantised to a step q of a geometric scale, and the n-gram is put into the
-filter q times, with 1 to q; to read a count, a worker asks for 1, 2, ... until a
-step is missing.  A word's probability given the one before is
-(c(h, w) + mass * P(w)) / (c(h) + mass); a word of the rest class takes its share of
-the class by its exact count.  Exact counts of the ``head`` most frequent words go to
-the workers as well; those of all other words are joined.
+"""LM scoring: a bigram model of all words, frequent pairs from a log-frequency Bloom filter.
+
+A word's probability given the one before is (c(h, w) + mass * P(w)) / (c(h) + mass),
+with P(w) = (c(w) + add) / total.  Words count exactly.  Pairs of two of the ``classes``
+most frequent words, at most classes squared, go to the workers in a filter: a count is
+quantised to a step q of a geometric scale, and the pair is put into the filter q times,
+with 1 to q; to read a count, a worker asks for 1, 2, ... until a step is missing.  All
+other pairs are counted exactly: each of their occurrences goes, with its document's row,
+to where its rarer word is counted, so that no key has more than its share of a word
+outside the classes.  Exact counts of the ``head`` most frequent words go to the workers
+as well; those of all other words follow from the same rows.
 
 Words are known by 64-bit hashes.  Defined results: a null or empty text has the end
 token only; a null id counts as the empty text for the split; repeated rows are scored
@@ -17,12 +17,13 @@ each for itself but count each in training; only the named columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import id_crc32, stored
@@ -130,93 +131,76 @@ def _summed(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
 
 
-class Classes:
-    """The class of a token: its place among the most frequent, or the last for the rest."""
+class Words:
+    """Numbers of the known words: the end token is 0, others follow by falling count; -1 for all else."""
 
     def __init__(self, hashes: np.ndarray):
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        self.rest = len(hashes)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, self.order[at], self.rest)
+        return np.where(self.hashes[at] == tokens, self.order[at], -1)
 
-    def pairs(self, tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """A key for each token and the one before; the end token stands before the first."""
-        c = self.of(tokens)
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[offsets[:-1]] = self.of(np.array([END], np.uint64))[0]
-        return before * (self.rest + 1) + c
+
+def before(numbers: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """What stands before each token; the end token, number 0, stands before the first."""
+    out = np.empty_like(numbers)
+    out[1:] = numbers[:-1]
+    out[offsets[:-1]] = 0
+    return out
 
 
 @dataclass
 class Model:
-    head_hashes: np.ndarray
-    head_counts: np.ndarray
-    classes: np.ndarray
-    class_counts: np.ndarray
+    words: Words
+    #: Exact counts by number; the first ``classes`` numbers are the classes.
+    counts: np.ndarray
+    classes: int
     filter: CountFilter
     tokens: int
-    words: int
+    distinct: int
     settings: Settings
 
     @property
     def total(self) -> float:
-        return self.tokens + self.settings.add * (self.words + 1)
-
-    def rest_mass(self) -> float:
-        """Probability of all words of the rest class, unseen ones included."""
-        known = int((self.class_counts > 0).sum())
-        return (self.tokens - int(self.class_counts.sum()) + self.settings.add * (self.words - known + 1)) / self.total
-
-    def head(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact counts, and whether the token is of the head."""
-        if not len(self.head_hashes):
-            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        at = np.minimum(np.searchsorted(self.head_hashes, tokens), len(self.head_hashes) - 1)
-        on = self.head_hashes[at] == tokens
-        return np.where(on, self.head_counts[at], 0), on
-
-    def pair_logs(self, pairs: np.ndarray) -> np.ndarray:
-        """log10 of a class given the class before, from the filter's counts."""
-        s, n = self.settings, len(self.classes) + 1
-        u, inverse = np.unique(pairs, return_inverse=True)
-        before, c = u // n, u % n
-        single = np.arange(n) + n * n
-        alone = self.filter.counts(single)
-        prior = np.append((alone[:-1] + s.add) / self.total, self.rest_mass())
-        p = (self.filter.counts(u) + s.mass * prior[c]) / (alone[before] + s.mass)
-        return np.log10(np.minimum(p, 1.0))[inverse]
+        return self.tokens + self.settings.add * (self.distinct + 1)
+
+    def pair_logs(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the count of a pair of classes adds to the log10 of a pair never seen."""
+        s = self.settings
+        u, inverse = np.unique(h * self.classes + w, return_inverse=True)
+        h, w = u // self.classes, u % self.classes
+        prior = s.mass * (self.counts[w] + s.add) / self.total
+        return np.log10(np.minimum(1 + self.filter.counts(u) / prior, (self.counts[h] + s.mass) / prior))[inverse]
 
 
 def fit(docs: DataFrame, counts: DataFrame, settings: Settings) -> Model:
     """``docs`` (t): training texts; ``counts`` (key, n): their stored word counts."""
-    s = settings
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "key").limit(s.head).toArrow()
-    keys, held = top.column("key").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
+    s, end = settings, int(END.view(np.int64))
+    n, v, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("key") == end, F.col("n"))), F.lit(0))).first()
+    top = counts.where(F.col("key") != end).orderBy(F.desc("n"), "key").limit(s.head).toArrow()
+    keys, held = top.column("key").to_numpy().astype(np.int64), top.column("n").to_numpy().astype(np.int64)
     by_count = np.lexsort((keys, -held))
-    classes = keys[by_count][: s.classes]
-    if END not in classes:
-        classes = np.append(classes[: s.classes - 1], END)
-    sort = np.argsort(keys)
-    keys, held = keys[sort], held[sort]
-    at = np.minimum(np.searchsorted(keys, classes), max(0, len(keys) - 1))
-    class_counts = np.where(keys[at] == classes, held[at], 0) if len(keys) else np.zeros(len(classes), np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    words = Words(np.append(END, keys[by_count].view(np.uint64)))
+    held = np.append(int(ends), held[by_count])
+    size = min(s.classes, len(held))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Classes(shared.value)
-        return _summed(c.pairs(*tokens_of(part)) for _, part in _texts(batches))
+        def keys() -> Iterator[np.ndarray]:
+            for _, part in _texts(batches):
+                tokens, offsets = tokens_of(part)
+                w = shared.value.of(tokens)
+                w = np.where(w < size, w, -1)
+                h = before(w, offsets)
+                yield (h * size + w)[(h >= 0) & (w >= 0)]
+
+        return _summed(keys())
 
     found = docs.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    size = len(classes) + 1
-    rest = int(n) - int(class_counts.sum())
-    all_keys = np.concatenate([found.column("key").to_numpy().astype(np.int64), np.arange(size) + size * size])
-    all_counts = np.concatenate([found.column("n").to_numpy().astype(np.int64), class_counts, [rest]])
-    return Model(keys, held, classes, class_counts, CountFilter(all_keys, all_counts, s.bits_per_entry, s.probes, s.step), int(n), int(v), s)
+    seen = CountFilter(found.column("key").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64), s.bits_per_entry, s.probes, s.step)
+    return Model(words, held, size, seen, int(n), int(v), s)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -226,50 +210,57 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _lists(offsets, values, kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
-
-
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out_of: int = 10, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (id_crc32(F.col(doc_id)) % held_out_of == 0).alias("held_out"), F.col(text).cast("string").alias("t"))
     learn = d.where("not held_out").select("t")
     counts = stored(count_words(learn), "words")
     model = fit(learn, counts, settings)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest_log = float(np.log10(max(model.rest_mass(), 1e-300)))
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_tail", "words", "times"]
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    s, size, head, total = settings, model.classes, len(model.counts), model.total
+    kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    names = ["by", "other", "learn", "row", "doc"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, with what the worker knows, and one for each pair that isn't of two classes."""
         m = shared.value
-        classes = Classes(m.classes)
+        bases = np.log10((m.counts + s.add) / total)
+        alone = bases + np.log10(s.mass) - np.log10(m.counts + s.mass)
         for batch, part in _texts(batches):
             tokens, offsets = tokens_of(part)
-            begin = offsets[:-1]
-            count, on = m.head(tokens)
-            logs = np.where(on, np.log10((count + m.settings.add) / m.total), 0.0)
-            chain = m.pair_logs(classes.pairs(tokens, offsets))
-            inside = np.where(on & (classes.of(tokens) == classes.rest), logs - rest_log, 0.0)
-            row = np.repeat(np.arange(len(part)), np.diff(offsets))[~on]
-            order = np.lexsort((tokens[~on], row))
-            r, w = row[order], tokens[~on][order]
-            first = np.ones(len(r), bool)
-            first[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-            at = np.flatnonzero(first)
-            times = np.diff(np.append(at, len(r)))
-            bounds = np.searchsorted(r[at], np.arange(len(part) + 1))
-            add = lambda x: np.add.reduceat(x, begin)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(offsets)), pa.array(add((count > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(chain + inside)),
-                pa.array(add((~on).astype(np.int64))), _lists(bounds, w[at].view(np.int64), pa.int64()), _lists(bounds, times.astype(np.int32), pa.int32()),
-            ], names)
-
-    first = d.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_tail long, words array<long>, times array<int>")
-    first = stored(first.withColumn("row", F.monotonically_increasing_id()), "head-scores")
-    tail = first.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("key"), F.col("x.times").alias("times"))
-    tail = tail.join(counts, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    log = F.log10((F.col("n") + F.lit(settings.add)) / F.lit(model.total))
-    tail = tail.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * log).alias("tail"))
-    out = first.drop("words", "times").join(tail, "row", "left")
-    more, known = F.coalesce("tail", F.lit(0.0)), F.coalesce("known", F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more - F.col("n_tail") * F.lit(rest_log)).alias("score"))
+            w = m.words.of(tokens)
+            on = w >= 0
+            ids = np.where(on, w, tokens.view(np.int64))
+            h, h_ids = before(w, offsets), before(ids, offsets)
+            right = (w < 0) | (w >= size)
+            rest = right | (h < 0) | (h >= size)
+            chain = np.where(on, alone[w], 0.0)
+            chain[~rest] += m.pair_logs(h[~rest], w[~rest])
+            add = lambda x: pa.array(np.add.reduceat(x, offsets[:-1]))
+            row = batch.column("row")
+            doc = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(offsets)), add((on & (m.counts[w] > 0)).astype(np.int64)), add(np.where(on, bases[w], 0.0)), add(chain)]
+            none = pa.array(np.zeros(len(part), bool))
+            yield pa.RecordBatch.from_arrays([row, row, none, row, pa.StructArray.from_arrays(doc, fields=list(kind))], names)
+            of = np.repeat(np.arange(len(part)), np.diff(offsets))[rest]
+            by, other = np.where(right, ids, h_ids)[rest], np.where(right, h_ids, -1 - w)[rest]
+            train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(by), pa.array(other), pa.array(train[of]), pa.array(row.to_numpy()[of]), pa.nulls(len(of), kind)], names)
+
+    fields = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    rows = d.withColumn("row", F.monotonically_increasing_id()).mapInArrow(scored, f"by long, other long, learn boolean, row long, doc struct<{fields.replace(' ', ':').replace(',:', ',')}>").repartition("by")
+    # by is the word itself, or the one before it if the word is of a class, which other then names as -1 - number
+    left = (F.col("other") < 0) & (F.col("other") >= -size)
+    rows = rows.withColumn("n_pair", F.sum(F.col("learn").cast("long")).over(Window.partitionBy("by", "other")))
+    rows = rows.withColumn("n_by", F.sum((F.col("learn") & ~left).cast("long")).over(Window.partitionBy("by")))
+    classes = spark.createDataFrame([(-1 - i, int(c)) for i, c in enumerate(model.counts[:size])], "other long, n_class long")
+    rows = rows.join(F.broadcast(classes), "other", "left")
+    n, pair = F.coalesce("n_class", "n_by") + F.lit(s.add), F.col("doc").isNull()
+    tail = pair & ~left & ((F.col("by") < 0) | (F.col("by") >= head))
+    base = F.when(tail, F.log10(n / F.lit(total))).otherwise(0.0)
+    own = F.when(tail, F.lit(math.log10(s.mass)) - F.log10(F.col("n_by") + F.lit(s.mass))).otherwise(0.0)
+    more = F.log10(1 + F.col("n_pair") * F.lit(total / s.mass) / n)
+    of = lambda name, x: F.when(pair, x).otherwise(F.col(f"doc.{name}")).alias(name)
+    each = rows.select("row", "doc.doc_id", "doc.held_out", "doc.n_tokens", of("n_known", (tail & (F.col("n_by") > 0)).cast("long")), of("base", base), of("score", base + own + more))
+    out = each.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("n_known", "base", "score")])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

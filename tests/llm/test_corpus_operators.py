@@ -146,6 +146,23 @@ def test_language_model_base_and_filter(spark):
     assert language_model.score(d.limit(0), settings=small).count() == 0
 
 
+@pytest.mark.parametrize(("classes", "head", "off"), [(1, 3, 1e-6), (1, 50, 1e-6), (1, 10**6, 1e-6), (20, 50, 0.12)])
+def test_language_model_counts_pairs_of_all_words(spark, classes, head, off):
+    """Against plain counts: exact but for pairs of two classes, whose counts are quantised."""
+    texts = ODD + random_texts(80, 7) + ["rare1 rare2 rare3 rare2", "rare2 rare3", "rare1 rare2 rare4"]
+    got = {r["doc_id"]: r for r in language_model.score(docs_of(spark, texts), settings=language_model.Settings(classes=classes, head=head)).collect()}
+    tokens = {i: [w.lower() for w in (t or "").encode().split()] + [None] for i, t in enumerate(texts)}
+    learn = [ws for i, ws in tokens.items() if crc(i) % 10]
+    counts = Counter(w for ws in learn for w in ws)
+    pairs = Counter(p for ws in learn for p in zip([None, *ws], ws))
+    total = sum(counts.values()) + 0.1 * (len(counts) + 1)
+    assert len(got) == len(texts)
+    for i, ws in tokens.items():
+        if len(ws) > 1 or classes > 1:  # pair of two end tokens: quantised
+            exact = sum(math.log10((pairs[h, w] + 300 * (counts[w] + 0.1) / total) / (counts[h] + 300)) for h, w in zip([None, *ws], ws))
+            assert got[i]["score"] == pytest.approx(exact, abs=off * len(ws))
+
+
 def test_count_filter():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 2**40, 5000))
