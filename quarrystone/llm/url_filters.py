@@ -52,11 +52,12 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.where((F.col("dst") != "") & (F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 50, rounds_per_table: int = 4) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 1000, rounds_per_table: int = 4) -> DataFrame:
     """Personalised PageRank of both kinds at once: (host, kind, score).
 
     ``seeds``: (host, kind, mass), each kind's masses summing to one.  Kind
-    ``trust`` follows a link, kind ``distrust`` goes back along it."""
+    ``trust`` follows a link, kind ``distrust`` goes back along it.  Rounds go on until
+    scores move by ``tolerance`` at most and no host is reached for the first time."""
     one = links.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "n")
     back = links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "n")
     both = one.unionByName(back)
@@ -74,13 +75,15 @@ def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tole
         ranks = flow.unionByName(home).groupBy("host", "kind").agg(F.sum("score").alias("score"))
         if k % rounds_per_table == 0 or k == most_rounds:
             ranks = stored(ranks, "ranks")
-            moved = ranks.withColumnRenamed("score", "now").join(was, ["host", "kind"], "full").select(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0]
+            both = ranks.withColumnRenamed("score", "now").join(was, ["host", "kind"], "full")
+            change = F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))
+            moved, new = both.select(change, F.count_if(F.col("score").isNull())).first()
             if held is not None:
                 dropped(held)
             held = ranks
-            if (moved or 0.0) <= tolerance:
-                break
-    return ranks
+            if (moved or 0.0) <= tolerance and not new:
+                return ranks
+    raise RuntimeError(f"scores of hosts don't settle in {most_rounds} rounds")
 
 
 def judge_urls(pages: DataFrame, rules: Rules, *, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, **options) -> DataFrame:

@@ -195,6 +195,19 @@ def test_propagation_matches_power_iteration(spark):
             assert got.get((h, kind), 0) == pytest.approx(rank.get(h, 0), abs=1e-3)
 
 
+def test_propagation_goes_on_until_it_settles(spark):
+    far = [(f"h{i:02}", f"h{i + 1:02}", 1) for i in range(60)]
+    ring = [("a", "b", 1), ("b", "a", 1)]
+    d = spark.createDataFrame(far + ring, "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h60", "distrust", 1.0), ("a", "trust", 1.0)], "host string, kind string, mass double")
+    got = {(r["host"], r["kind"]): r["score"] for r in url_filters.propagate(d, seeds).collect()}
+    assert {h for h, kind in got if kind == "distrust"} == {f"h{i:02}" for i in range(61)}
+    assert got["a", "trust"] == pytest.approx(0.15 / (1 - 0.85**2), abs=1e-5)
+    assert got["h00", "distrust"] == pytest.approx(0.15 * 0.85**60)
+    with pytest.raises(RuntimeError):
+        url_filters.propagate(d, seeds, most_rounds=8)
+
+
 def test_distrust_blocks_hosts_that_link_to_blocked(spark):
     page = lambda i, u, to: (i, u, "".join(f'<a href="{t}">' for t in to))
     rows = [page(1, "http://bad.net/es/1", []), page(2, "http://farm.org/x", ["http://bad.net/es/1"]), page(3, "http://good.com/", ["http://fine.org/"]), page(4, "http://fine.org/", []), page(5, "http://alone.org/", ["/x"])]
