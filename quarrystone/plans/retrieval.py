@@ -381,11 +381,18 @@ def query_gate(spark, sf_dir):
     return d.select("qid", "intent", *[c.alias(n) for n, c in gate_of(F.col("text"), F.col("intent")).items()])
 
 
+def all_questions(spark, sf_dir):
+    """(source, id, turn, text): benchmark items, without a turn, and all turns of conversations."""
+    items = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").cast("long").alias("id"), F.lit(None).cast("long").alias("turn"), "text")
+    turns = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), F.col("conv_id").cast("long").alias("id"), F.col("turn").cast("long").alias("turn"), "text")
+    return items.unionByName(turns)
+
+
 @query("query_decompose")
 def query_decompose(spark, sf_dir):
-    """Variants of questions, one a row; held against a plain-Python twin in the tests."""
-    d = literal_questions(spark).withColumn("intent", intent_of(F.col("text")))
-    return d.select("qid", F.posexplode(variants_of(F.col("text"), F.col("intent"))).alias("place", "variant"))
+    """Variants of every question of both tables, one a row; held against a plain-Python twin in the tests."""
+    d = all_questions(spark, sf_dir).withColumn("intent", intent_of(F.col("text")))
+    return d.select("source", "id", "turn", F.posexplode(variants_of(F.col("text"), F.col("intent"))).alias("place", "variant"))
 
 
 def corpus_of(spark, sf_dir) -> whole.Corpus:

@@ -130,6 +130,14 @@ def test_questions(spark):
         assert r["intent"] == intent_twin(r["q"]) and r["v"] == variants_twin(r["q"])
 
 
+def test_all_questions_of_the_tables_are_decomposed(spark):
+    sf = "/root/testdata/sf0.001"
+    asked = [("benchmark", r["item_id"], None, r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    asked += [("conversations", r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
+    got = sorted(repr(tuple(r[c] for c in ("source", "id", "turn", "place", "variant"))) for r in retrieval.query_decompose(spark, sf).collect())
+    assert got == sorted(repr((*at, k, v)) for *at, text in asked for k, v in enumerate(variants_twin(text or "")))
+
+
 def mmr_twin(rel, vectors, k, trade):
     n = len(rel)
     if n <= k:
