@@ -415,7 +415,7 @@ def retrieve_filtered(spark, sf_dir):
 
 @query("ablation_variants")
 def ablation_variants(spark, sf_dir):
-    return whole.ablation(corpus_of(spark, sf_dir), questions(spark, sf_dir), ["dense_only", "bm25_only", "hybrid_rrf", "hybrid_reranker"], as_of="2025-06-01", top_n=5)
+    return whole.ablation(corpus_of(spark, sf_dir), questions(spark, sf_dir), list(whole.ABLATIONS), as_of="2025-06-01", top_n=5)
 
 
 @query("grounding_check", "WITH pairs AS (SELECT a.conv_id, a.turn, lower(a.text) AS answer, lower(b.text) AS context FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'), w AS (SELECT *, list_distinct(regexp_extract_all(answer, '[a-z]{6,}')) AS words FROM pairs) SELECT conv_id, turn, round(CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: contains(context, x))) / len(words) ELSE 1 END, 4) AS share, CASE WHEN len(words) > 0 THEN len(list_filter(words, lambda x: contains(context, x))) / len(words) ELSE 1 END < 0.25 AS warned FROM w")

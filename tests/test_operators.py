@@ -138,6 +138,15 @@ def test_all_questions_of_the_tables_are_decomposed(spark):
     assert got == sorted(repr((*at, k, v)) for *at, text in asked for k, v in enumerate(variants_twin(text or "")))
 
 
+def test_ablation_runs_every_variant(monkeypatch):
+    asked = []
+    monkeypatch.setattr(retrieval, "corpus_of", lambda spark, sf_dir: None)
+    monkeypatch.setattr(retrieval, "questions", lambda spark, sf_dir: None)
+    monkeypatch.setattr(retrieve, "ablation", lambda corpus, questions, names, **options: asked.extend(names))
+    retrieval.ablation_variants(None, "")
+    assert asked == ["dense_only", "bm25_only", "hybrid_rrf", "hybrid_reranker", "no_rerank", "no_mmr", "full"]
+
+
 def mmr_twin(rel, vectors, k, trade):
     n = len(rel)
     if n <= k:
