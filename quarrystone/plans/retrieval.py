@@ -83,6 +83,11 @@ def asked(spark, sf_dir, most: int = 40):
     return vectors(spark, sf_dir).where(F.col("vec_id") < most).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
+def asked_all_over(spark, sf_dir, every: int = 20):
+    """Vectors of every id divisible by ``every``: their number follows the table."""
+    return vectors(spark, sf_dir).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
 def asked_by_items(spark, sf_dir):
     """The vector of every question of the benchmark: that of its own id."""
     q = questions(spark, sf_dir).select("qid").distinct()
@@ -265,7 +270,7 @@ def layer_coverage(spark, sf_dir):
 @query("mmr_select")
 def mmr_select(spark, sf_dir):
     """Greedy selection over each question's nearest vectors: no SQL states it."""
-    found = dense.top(vectors(spark, sf_dir), asked(spark, sf_dir), 40)
+    found = dense.top(vectors(spark, sf_dir), asked_all_over(spark, sf_dir), 40)
     d = found.withColumn("intent", F.lit("discovery"))
     return fusion.mmr(d, vectors(spark, sf_dir), 10, key="vec_id")
 

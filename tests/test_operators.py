@@ -207,6 +207,13 @@ def test_every_question_has_a_dense_arm(spark, tmp_path):
     assert got == {(q, k + 1): (d, dots[q, d]) for q, ds in best.items() for k, d in enumerate(ds)}
 
 
+def test_mmr_is_asked_all_over(spark, tmp_path):
+    x = np.random.default_rng(6).normal(size=(130, 4))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = retrieval.mmr_select(spark, str(tmp_path)).groupBy("qid").count().collect()
+    assert {r["qid"]: r["count"] for r in got} == dict.fromkeys(range(0, 130, 20), 10)
+
+
 def test_dense_top_asks_in_parts(spark, monkeypatch):
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(50)], "vec_id long, embedding array<float>")
     q = spark.createDataFrame([(i, [1.0, i / 8]) for i in range(20)], "qid long, vector array<float>")
