@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,43 +35,57 @@ def id_crc32(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
+    """The folder that driver and executors share.  Where none is set, a local master gets a
+    temporary one (tests); a cluster has no folder that all machines see, so it's an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
         there = sc._jsc.sc().getCheckpointDir()
         if there.isDefined():
             path = there.get()
-        else:
+        elif sc._jsc.sc().isLocal():
             path = tempfile.mkdtemp(prefix="quarrystone-")
             sc.setCheckpointDir(path)
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of texts that go to a Python worker at once, at most: a batch is held several times over.
 BATCH_ROWS = 256
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """The frame; its session sends Python workers at most BATCH_ROWS rows at once from now on."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, BATCH_ROWS)
-    return df
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Python workers get at most BATCH_ROWS rows at once; then what held before holds again."""
+    was = spark.conf.get(_BATCH)
+    if 0 < int(was) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, was)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a frame made by ``stored`` that nothing needs any more."""
+def stored(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost
+    executors.  With ``texts``, Python workers get small batches meanwhile."""
     spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:  # none if the frame has no rows
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with small_batches(spark) if texts else nullcontext():
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of frames made by ``stored`` that nothing needs any more."""
+    for df in frames:
+        if at := getattr(df, "_stored_at", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

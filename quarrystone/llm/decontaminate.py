@@ -7,8 +7,11 @@ automaton over all pieces finds the exact hits, each of which fixes where the it
 would lie, and Myers' bit-parallel distance decides on that window.
 
 Defined results: null and empty texts, and items that are empty after normalising,
-match nothing; equal items are matched each; a document is reported once per item,
-with its best place, the first of equals; only the named columns are read.
+match nothing; equal items of different ids are matched each, repeated rows of an item
+count once, an item without an id is reported with a null one; a document is reported
+once per item and row, with its best place, the first of equals; texts of any length
+are searched whole, items of any number in passes; empty tables give no rows; only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import in_small_batches
+from quarrystone.llm.common import stored
 
-#: Characters of items per pass: bounds the automaton and its broadcast.
+#: Characters of items per pass, about: bounds the automaton and its broadcast.
 PASS_CHARS = 2_000_000
 
 
@@ -116,32 +119,21 @@ class Matcher:
         return out
 
 
-def _passes(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
-    out: list[list] = [[]]
-    size = 0
-    for i, t in items:
-        if out[-1] and size + len(t) > PASS_CHARS:
-            out.append([])
-            size = 0
-        out[-1].append((i, t))
-        size += len(t)
-    return out
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_chars: int = 64_000_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", pass_chars: int = PASS_CHARS) -> DataFrame:
     """doc_id, item_id, start, end, distance; places are in the normalised text.
 
-    The test items, of at most ``most_chars`` characters, go to the workers in passes of
-    PASS_CHARS; documents are read once a pass and never shuffled."""
+    The test items go to the workers in as many passes of about ``pass_chars`` characters
+    as they take; the driver holds one pass at a time.  Documents are read once a pass and
+    never shuffled, and each pass's hits are stored.  ``doc_id`` may be of any type."""
     t = F.coalesce(F.col(item_text).cast("string"), F.lit(""))
-    size = benchmark.agg(F.sum(F.length(t))).first()[0] or 0
-    if size > most_chars:
-        raise ValueError(f"test items have {size} characters; the bound is {most_chars}")
-    items = sorted((i, normalise(x)) for i, x in benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long"), t).collect())
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), t.alias("t")).where("t <> ''").distinct()
+    passes = max(1, -(-(items.agg(F.sum(F.length("t"))).first()[0] or 0) // pass_chars))
     kind = docs.schema[doc_id].dataType.simpleString()
-    d = in_small_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
     sc, out = docs.sparkSession.sparkContext, None
-    for part in _passes(items):
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).collect()
+        part = sorted(((i, normalise(x)) for i, x in part), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         shared = sc.broadcast((part, rate))
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -156,6 +148,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.08, doc_id
                     columns = [pa.array(c, pa.int64()) for c in zip(*hits, strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), *columns], ["doc_id", "item_id", "start", "end", "distance"])
 
-        more = d.mapInArrow(found, f"doc_id {kind}, item_id long, start long, end long, distance long")
+        more = stored(d.mapInArrow(found, f"doc_id {kind}, item_id long, start long, end long, distance long"), "hits", texts=True)
+        shared.destroy()
         out = more if out is None else out.unionByName(more)
     return out

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm.common import dropped, stored
 from quarrystone.llm.hashing import subwords
 
 EDGES = b".,;:!?\"'()[]{}#*$%&|<>-_/"
@@ -126,7 +127,8 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray | None = Non
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", learn: Column | None = None, max_rows: int = 6000, max_bytes: int = 24_000_000, settings: Settings = Settings()) -> Model:
     """Trains on a bounded sample of labelled documents, at most ``max_rows`` of them and
     about ``max_bytes`` of text, half of either class where there are as many, weighted
-    back to the classes' shares.  Taken by id hash; the driver gets no other text."""
+    back to the classes' shares.  Taken by id hash, of an id with several rows its smallest
+    text; the driver gets no other text."""
     y = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull())
     y = y.groupBy(F.col(doc_id).alias("__id")).agg((F.max(toxic) > 0).cast("int").alias("__y"))
     if learn is not None:
@@ -134,15 +136,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     shares = {r[0]: r[1] for r in y.groupBy("__y").count().collect()}
     half = max_rows // 2
     y = y.where("__y = 1").orderBy(F.xxhash64("__id"), "__id").limit(half).unionByName(y.where("__y = 0").orderBy(F.xxhash64("__id"), "__id").limit(half))
-    chosen = docs.join(F.broadcast(y), docs[doc_id] == y["__id"]).select("__id", "__y", F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    of = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
+    chosen = stored(of.join(F.broadcast(y), "__id").groupBy("__id", "__y").agg(F.min("__t").alias("__t")), "labelled")
     sizes = sorted(chosen.select(F.xxhash64("__id"), "__id", "__y", F.octet_length("__t")).collect())
     room, ids = {0: max_bytes // 2, 1: max_bytes // 2}, []
     for _, i, c, n in sizes:
         if n <= room[c]:
             room[c] -= n
-            ids.append(i)
-    keep = docs.sparkSession.createDataFrame([(i,) for i in ids], "__keep long")
+            ids.append((i,))
+    keep = docs.sparkSession.createDataFrame(ids, chosen.select(F.col("__id").alias("__keep")).schema)
     rows = sorted(tuple(r) for r in chosen.join(F.broadcast(keep), F.col("__id") == F.col("__keep")).select("__id", "__y", "__t").collect())
+    dropped(chosen)
     labels_ = np.array([r[1] for r in rows], int)
     taken = np.bincount(labels_, minlength=2)
     weights = np.array([shares.get(c, 0) / max(1, taken[c]) for c in labels_])

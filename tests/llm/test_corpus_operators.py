@@ -93,13 +93,39 @@ def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join(docs_of(spark, ODD).limit(0)).count() == 0
 
 
+def test_jaccard_join_of_long_texts_and_large_groups(spark):
+    """Long texts, some linked and some with half of their words in common, and 3,000 near copies."""
+    r = random.Random(12)
+    texts = []
+    for n in (2000, 20_000):
+        for _ in range(3):
+            base = ["l%d" % r.randrange(10**6) for _ in range(n)]
+            texts += [" ".join(base), edited(" ".join(base), r, n // 90), edited(" ".join(base), r, n // 20)]
+            texts += [" ".join(base[: n // 2] + ["m%d" % r.randrange(10**6) for _ in range(n // 2)]) for _ in range(2)]
+    groups = brute_components(texts, 5, 80)
+    base = " ".join("c%d" % r.randrange(10**6) for _ in range(120))
+    texts += [edited(base, r, 1) for _ in range(3000)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.join(docs_of(spark, texts)).collect()}
+    assert {i: got[i] for i in groups} == groups and len({g for _, g in groups.values()}) > 12
+    assert {got[i][1] for i in range(len(groups), len(texts))} == {len(groups)}
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    """Rows of one id with other texts are judged each for itself."""
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    d = spark.createDataFrame([(1, a), (7, a), (7, b), (8, b), (8, b)], "doc_id long, text string")
+    got = Counter((x["doc_id"], x["component_id"], x["n_copies"]) for x in jaccard_join.join(d).collect())
+    assert got == Counter({(1, 1, 2): 1, (7, 1, 2): 1, (7, 7, 3): 1, (8, 7, 3): 2})
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=400), st.sets(st.integers(0, 2**64 - 1), max_size=200), st.integers(0, 399))
 @settings(max_examples=100, deadline=None)
 def test_bit_counts_bound_from_above(a, more, cut):
     x = np.array(sorted(a), np.uint64)
     y = np.array(sorted({*x[min(cut, len(x) - 1) :].tolist(), *more}), np.uint64)
     common = len(set(x.tolist()) & set(y.tolist()))
-    assert jaccard_join.most_common(jaccard_join.signature_of(x), len(x), jaccard_join.signature_of(y), len(y)) >= common
+    assert jaccard_join.most_common(jaccard_join.signature_of(x, 16), len(x), jaccard_join.signature_of(y, 8), len(y)) >= common
+    assert (jaccard_join.shortened(jaccard_join.signature_of(x, 32), 8) == jaccard_join.signature_of(x, 8)).all()
 
 
 def test_components(spark):
@@ -339,3 +365,35 @@ def test_repeated_rows_of_near_duplicates(spark):
     text = " ".join("t%d" % k for k in range(40))
     d = docs_of(spark, [text, text + " more", None, "", None]).unionByName(docs_of(spark, [text]))
     assert Counter(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == Counter([0, 2, 3, 4])
+
+
+def test_pipeline_decides_on_rows(spark, tmp_path):
+    """Rows without an id, or with one in common, don't share a fate; all columns come through."""
+    a, b, c, leak = (" ".join(f"{x}{k}" for k in range(70)) for x in "abcl")
+    rows = [(None, a), (None, leak), (None, c), (7, a), (7, leak), (7, b), (7, b), (7, b + " more"), (9, b), (10, ""), (11, None)]
+    d = spark.createDataFrame([(i, t, "s", "x", 1, "y") for i, t in rows], "doc_id long, text string, source string, mark string, __id int, id string")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    of = lambda df: Counter((r["doc_id"], (r["text"] or "")[:2], len(r["text"] or "")) for r in df.collect())
+    everything = of(d)
+    clean = corpus_pipeline.decontaminated(spark, d, str(tmp_path))
+    assert clean.columns == d.columns and of(clean) == Counter({k: n for k, n in everything.items() if k[1] != "l0"})
+    once = corpus_pipeline.near_duplicates(spark, d, str(tmp_path))
+    got = of(once)
+    assert once.columns == d.columns and got[7, "b0", len(b)] + got[7, "b0", len(b) + 5] == 1 and got[9, "b0", len(b)] == 0
+    assert all(got[k] == n for k, n in everything.items() if k[1] != "b0")
+    kept = corpus_pipeline.quality(spark, d, str(tmp_path))
+    assert kept.columns == d.columns and kept.count() == 9
+    assert corpus_pipeline.mixed(spark, d, str(tmp_path)).columns == d.columns
+    assert corpus_pipeline.sharded(spark, d, str(tmp_path)).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
+def test_decontamination_in_passes(spark):
+    """As many passes as the items take give what one pass gives; repeated items count once."""
+    texts = random_texts(40, 3, words=30, size=80)
+    items = [(k, texts[k % 40][5:60]) for k in range(60)] + [(3, texts[3][5:60]), (None, texts[4])]
+    d, b = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    of = lambda df: Counter(tuple(r) for r in df.collect())
+    assert of(decontaminate.matches(d, b, pass_chars=300)) == of(decontaminate.matches(d, b)) == of(decontaminate.matches(d, b.distinct()))
