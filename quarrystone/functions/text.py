@@ -81,6 +81,7 @@ HEADINGS = (
     (r"\banalysis\b", "results"), (r"\bdiscussion\b", "discussion"), (r"\bconclusions?\b", "conclusion"), (r"\bappendix\b", "appendix"), (r"\bachnowledg", "other"),
     (r"\breference|bibliography|works\s+cited\b", "other"), (r"\bpreface\b", "preface"),
 )
+# What a heading's words give where none of the above is there, and what comes before all.
 FALLBACKS = (("method|approach|architecture", "method"), ("experiment|setup", "experiments"), ("result|finding", "results"), ("related.*work|work.*related", "related_work"), ("conclusion", "conclusion"), ("introduction", "introduction"), ("discussion", "discussion"))
 FIRST = (("abstract", "abstract"), ("appendix|supplementary", "appendix"), ("preface", "preface"))
 
@@ -104,7 +105,10 @@ def normalize_section(col: Column, strict_compat: bool = False) -> Column:
 
 def section_profile(col: Column) -> Column:
     s = F.lower(text(col))
-    return F.when(s.rlike("abstract|conclusion"), "small").when(s.rlike("method|experiment|result|evaluation|analysis"), "medium").when(s.rlike("related work|background|preliminaries|appendix"), "large").otherwise("default")
+    out = F.lit("default")
+    for size, words in reversed(config.PROFILES):
+        out = F.when(s.rlike("|".join(words)), size).otherwise(out)
+    return out
 
 
 def heuristic_label(col: Column) -> Column:

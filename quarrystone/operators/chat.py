@@ -39,10 +39,26 @@ def throttled(d: DataFrame, who: str, at: str, seconds: int = 60, most: int = 5)
     return d.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("blocked", F.col("recent") > most).drop("__s")
 
 
-def rolling(d: DataFrame, value: str, at: str, *ties: str, rows: int = 5000) -> DataFrame:
-    """Average and largest of the last rows up to each, per day, so that a day is a window's most."""
-    w = Window.partitionBy(F.to_date(at)).orderBy(at, *ties).rowsBetween(-(rows - 1), 0)
-    return d.withColumns({"rolling_avg": F.round(F.avg(value).over(w), 8), "rolling_max": F.round(F.max(value).over(w), 8)})
+#: Rows of a block of the rolling windows, at least.
+BLOCK_ROWS = 65_536
+
+
+def rolling(d: DataFrame, value: str, at: str, *ties: str, rows: int = 5000, block: int = BLOCK_ROWS) -> DataFrame:
+    """Average and largest of the last rows up to each, over all the table.
+
+    Rows are numbered by the hour, on the hours' running totals, and windows run in blocks
+    of numbers, each with the rows before that its first ones look back on."""
+    block = max(block, rows)
+    hour = F.date_trunc("hour", F.col(at))
+    n = d.groupBy(hour.alias("__hour")).agg(F.count(F.lit(1)).alias("__n"))
+    n = n.withColumn("__before", F.sum("__n").over(Window.orderBy(F.asc_nulls_first("__hour"))) - F.col("__n")).select(F.col("__hour").alias("__of"), "__before")
+    d = d.withColumn("__hour", hour).join(n, F.col("__hour").eqNullSafe(F.col("__of"))).drop("__of")
+    d = d.withColumn("__k", F.col("__before") + F.row_number().over(Window.partitionBy("__hour").orderBy(at, *ties)) - 1)
+    own = F.floor(F.col("__k") / block)
+    d = d.withColumn("__own", own).withColumn("__block", F.explode(F.when(F.col("__k") % block > block - rows, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("__block").orderBy("__k").rowsBetween(-(rows - 1), 0)
+    d = d.withColumns({"rolling_avg": F.round(F.avg(value).over(w), 8), "rolling_max": F.round(F.max(value).over(w), 8)})
+    return d.where(F.col("__block") == F.col("__own")).drop("__hour", "__before", "__k", "__own", "__block")
 
 
 def role_lines(d: DataFrame) -> DataFrame:

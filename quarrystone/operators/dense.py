@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Numbers in the questions' matrix at most: what is broadcast to workers.
+#: Numbers of the questions' matrix that are broadcast at once; more questions take more passes.
 MOST_NUMBERS = 32_000_000
+#: Rows (score, key) that a worker keeps at once, for all questions of a pass.
+MOST_KEPT = 8_000_000
 BLOCK = 4096
 #: Questions that a block is multiplied with at once.
 ASKED = 512
@@ -25,40 +27,61 @@ def normalized(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best by score, then by key."""
+    if len(scores) > k:
+        on = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        scores, keys = scores[on], keys[on]
+    order = np.lexsort((keys, -scores))[:k]
+    return scores[order], keys[order]
+
+
 def top(vectors: DataFrame, questions: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", qid: str = "qid", question: str = "vector", cosine: bool = False, digits: int = 6) -> DataFrame:
     """(qid, key, score, rank).  Filter ``vectors`` before: this ranks what it is given.
 
-    Each worker keeps k of each block for each question, so what is shuffled doesn't
-    depend on the number of vectors but through that of blocks."""
-    rows = questions.select(qid, question).where(F.col(question).isNotNull()).toArrow()
+    Each task keeps the k best of all its vectors for each question, so what is shuffled
+    follows the tasks, not the vectors.  Questions are counted before any is fetched and go
+    to the workers in as many passes as their bound asks for."""
+    asked = questions.select(qid, question).where(F.col(question).isNotNull())
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(question)), F.lit(0))).first()
+    passes = max(1, -(-n * size // MOST_NUMBERS), -(-n * k // MOST_KEPT))
+    part = None
+    for one in range(passes):
+        some = asked if passes == 1 else asked.where(F.pmod(F.xxhash64(qid), F.lit(passes)) == one)
+        more = _pass(vectors, some, k, key, vector, qid, cosine, digits)
+        part = more if part is None else part.unionByName(more)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "k")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("k", key)
+
+
+def _pass(vectors: DataFrame, questions: DataFrame, k: int, key: str, vector: str, qid: str, cosine: bool, digits: int) -> DataFrame:
+    rows = questions.toArrow()
     q = _matrix(rows.column(1).combine_chunks()) if rows.num_rows else np.zeros((0, 0))
-    if q.size > MOST_NUMBERS:
-        raise ValueError("too many questions at once; rank them in batches")
     shared = vectors.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy(), normalized(q) if cosine and q.size else q))
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, against = shared.value
+        held: list = [None] * len(ids)
         for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK):
+            for at in range(0, whole.num_rows if len(ids) else 0, BLOCK):
                 batch = whole.slice(at, BLOCK)
-                if not len(ids):
-                    return
                 x = _matrix(batch.column("v"))
                 x = normalized(x) if cosine else x
-                keep = min(k, len(x))
                 keys = batch.column("k").to_numpy()
                 for first in range(0, len(ids), ASKED):
-                    some = ids[first : first + ASKED]
                     s = np.round(x @ against[first : first + ASKED].T, digits)
-                    order = np.lexsort((np.broadcast_to(keys[:, None], s.shape), -s), axis=0)[:keep]
-                    col = np.broadcast_to(np.arange(len(some)), order.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(some[col.ravel()]), pa.array(keys[order.ravel()]), pa.array(s[order, col].ravel())], ["qid", "k", "score"])
+                    for j in range(s.shape[1]):
+                        best = _best(s[:, j], keys, k)
+                        was = held[first + j]
+                        held[first + j] = best if was is None else _best(np.concatenate([was[0], best[0]]), np.concatenate([was[1], best[1]]), k)
+        for first in range(0, len(ids), ASKED):
+            some = [(i, *h) for i, h in zip(ids[first : first + ASKED], held[first : first + ASKED], strict=True) if h is not None]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([i for i, _, _ in some], [len(s) for _, s, _ in some])), pa.array(np.concatenate([y for _, _, y in some])), pa.array(np.concatenate([s for _, s, _ in some]))], ["qid", "k", "score"])
 
     kind = questions.schema[qid].dataType.simpleString()
-    part = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(blocks, f"qid {kind}, k {kinds[key]}, score double")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "k")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("k", key)
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(blocks, f"qid {kind}, k {kinds[key]}, score double")
 
 
 def best_variant(found: DataFrame, key: str, most: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import lexical_tokens
-from quarrystone.sources.shared import stored
+from quarrystone.sources.shared import is_there, shared_dir, stored, version_of
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -55,6 +55,16 @@ def load(spark, path: str) -> Index:
     return index
 
 
+def of_snapshot(docs: DataFrame, path: str, **columns) -> Index:
+    """The index of the table at a path, built once for each version of it and kept in the
+    shared folder; what is half written has no statistics yet and is built anew."""
+    spark = docs.sparkSession
+    root = f"{shared_dir(spark)}/lexical-{version_of(spark, path)}"
+    if not is_there(spark, f"{root}/stats/_SUCCESS"):
+        save(build(docs, **columns), root)
+    return load(spark, root)
+
+
 def question_terms(questions: DataFrame, qid: str = "qid", text: str = "text", *more: str) -> DataFrame:
     """(qid, term, qtf): a term counts as often as the question has it."""
     keys = [F.col(c) for c in (qid, *more)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,15 +72,30 @@ def gap_fill(gaps: DataFrame, candidates: DataFrame) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("needed")).select("era", "paper_id", "published", "rank")
 
 
-def quota(d: DataFrame, quotas: dict[str, int], key: str = "paper_id") -> DataFrame:
-    """Soft quota of each layer in order of arrival: beyond it one in three is let in.
-    What is let in counts on, so after the quota it is the arrivals while the count isn't
-    a multiple of three that are refused: once it isn't, all later ones are."""
-    w = Window.partitionBy("layer").orderBy(key)
-    limit = F.lit(2**31)
-    for layer, n in quotas.items():
-        limit = F.when(F.col("layer") == layer, F.lit(n + (1 if n % 3 == 0 else 0))).otherwise(limit)
-    return d.withColumn("arrival", F.row_number().over(w)).where(F.col("arrival") <= limit)
+def quota(arrivals: DataFrame, shares: dict[str, float] = config.LAYER_SHARES, key: str = "paper_id", held: dict[str, int] | None = None) -> DataFrame:
+    """(key, layer, total): arrivals that are let in, in order of the key, and how many papers
+    there are then.  A layer whose share of the corpus has reached its quota is throttled: one
+    of its papers comes in only while their number is a multiple of three.  The corpus holds
+    ``held`` papers of each layer before.
+
+    Each decision depends on all before, so the sorted keys and layers, and nothing else,
+    stream through one task that holds counters only; the sort spills."""
+    before = dict(held or {})
+
+    def let_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = dict(before), sum(before.values())
+        for batch in batches:
+            taken, totals = [], []
+            for i, layer in enumerate(batch.column("layer").to_pylist()):
+                n = count.get(layer, 0)
+                if layer not in shares or n / max(total, 1) < shares[layer] or n % 3 == 0:
+                    count[layer], total = n + 1, total + 1
+                    taken.append(i)
+                    totals.append(total)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(taken, pa.int64())).columns, pa.array(totals, pa.int64())], [key, "layer", "total"])
+
+    kind = arrivals.schema[key].dataType.simpleString()
+    return arrivals.select(key, "layer").repartition(1).sortWithinPartitions(key).mapInArrow(let_in, f"{key} {kind}, layer string, total long")
 
 
 def result_analytics(d: DataFrame, most: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone import config
+
 #: Rules of the papers table, by column: what a new row does to an old one.
 PAPER_RULES = {
     **dict.fromkeys(("title", "abstract", "authors", "categories", "pdf_url", "full_text", "local_pdf_path", "semantic_scholar_id"), "nonblank"),
@@ -50,8 +52,8 @@ def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def with_field(d: DataFrame, key: str, value, field: str, to) -> DataFrame:
-    """One field of one row; only the fields that rules name may change; NUL is taken off."""
-    if field not in PAPER_RULES:
+    """One field of one row; only the fields that may be changed so; NUL is taken off."""
+    if field not in config.CHANGEABLE:
         raise ValueError(f"{field} can't be changed")
     to = to.replace("\x00", "") if isinstance(to, str) else to
     return d.withColumn(field, F.when(F.col(key) == value, F.lit(to)).otherwise(F.col(field)))
@@ -71,14 +73,49 @@ def folded(d: DataFrame, key: str, order: str, nonblank: list[str], last: list[s
 
 
 def missing_text(papers: DataFrame, retry_failed: bool, limit: int | None = None) -> DataFrame:
-    """Papers of proper id without a text, but for those given up, by id."""
+    """Papers of proper id without a text, latest first (undated ones before all), but for those
+    whose download failed or was skipped or whose text couldn't be parsed."""
     d = papers.where((F.trim(F.coalesce("full_text", F.lit(""))) == "") & F.col("paper_id").rlike(r"^\d{4}\.\d{4,5}$"))
     if not retry_failed:
-        d = d.where(~F.coalesce("download_status", F.lit("")).isin("failed", "not_found"))
-    d = d.orderBy("paper_id")
+        d = d.where(~F.coalesce("download_status", F.lit("")).isin("failed", "skipped") & (F.coalesce("parse_status", F.lit("")) != "failed"))
+    d = d.orderBy(F.desc_nulls_first("published"), "paper_id")
     return d.limit(limit) if limit is not None else d
 
 
+def lookup(d: DataFrame, key: str, value) -> DataFrame:
+    """The row of a key, none where it isn't there: the test reaches the scan."""
+    return d.where(F.col(key) == F.lit(value)).limit(1)
+
+
+def exists(d: DataFrame, key: str, value) -> bool:
+    return bool(lookup(d, key, value).take(1))
+
+
+def of_paper(chunks: DataFrame, paper_id, key: str = "paper_id") -> DataFrame:
+    """A paper's chunks in order."""
+    return chunks.where(F.col(key) == F.lit(paper_id)).orderBy("chunk_index")
+
+
+def seeds(papers: DataFrame) -> DataFrame:
+    return papers.where(F.coalesce("is_seed", F.lit(False))).orderBy(F.asc_nulls_last("published"), "paper_id")
+
+
+def work_items(papers: DataFrame, done: DataFrame, key: str = "paper_id") -> DataFrame:
+    """What is left to do, with its place: items whose last try failed first, then by key.
+    ``done`` (key, complete, failed) is the record of earlier runs."""
+    d = papers.select(key).distinct().join(done.select(key, "complete", "failed"), key, "left")
+    d = d.where(~F.coalesce("complete", F.lit(False))).select(key, F.coalesce("failed", F.lit(False)).alias("failed"))
+    return d.orderBy(F.desc("failed"), key)
+
+
+def deleted(d: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return d.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def truncated(d: DataFrame) -> DataFrame:
+    return d.limit(0)
+
+
 def orphans(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.select(on).distinct().join(right.select(on).distinct(), on, "left_anti")
 

@@ -36,11 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as papers: dated by id, title and abstract from the text's beginning."""
+    """Documents as papers: dated by id, titled by the text's beginning; the abstract is all of it."""
     d = table(spark, sf_dir, "documents")
     published = F.date_add(F.to_date(F.lit("2015-01-01")), (F.col("doc_id") % 4000).cast("int"))
     return d.select(
-        "doc_id", F.col("doc_id").alias("paper_id"), F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 300).alias("abstract"), F.col("source").alias("authors"), F.col("lang").alias("categories"),
+        "doc_id", F.col("doc_id").alias("paper_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("authors"), F.col("lang").alias("categories"),
         published.alias("published"), layer_of(F.year(published)).alias("layer"), (F.col("doc_id") % 50 == 0).alias("is_seed"), "text",
     )
 
@@ -48,7 +48,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAYER_SQL = "CASE WHEN year(published) <= 2019 THEN 'prerequisite' WHEN year(published) <= 2022 THEN 'foundation' WHEN year(published) <= 2024 THEN 'core' ELSE 'latest' END"
 PAPERS_SQL = f"""papers AS (
   SELECT *, {LAYER_SQL} AS layer FROM (
-    SELECT doc_id, doc_id AS paper_id, substring(text, 1, 60) AS title, substring(text, 1, 300) AS abstract, source AS authors, lang AS categories,
+    SELECT doc_id, doc_id AS paper_id, substring(text, 1, 60) AS title, text AS abstract, source AS authors, lang AS categories,
       DATE '2015-01-01' + (doc_id % 4000)::INTEGER AS published, doc_id % 50 = 0 AS is_seed, text FROM documents))"""
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4 as uuid_of
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystone import config
@@ -55,10 +56,10 @@ def lexical_document(spark, sf_dir):
     return d.select("doc_id", tx.lexical_document(F.concat(F.lit("p"), F.col("doc_id").cast("string")), F.col("source"), F.col("lang"), F.lit("2.1 Methods"), F.col("text")).alias("lexical"))
 
 
-@query("lexical_tokens", f"SELECT doc_id, len({tokens_sql('text')}) AS n_tokens, array_to_string(({tokens_sql('text')})[1:5], ' ') AS head FROM documents")
+@query("lexical_tokens", f"SELECT doc_id, len({tokens_sql('text')}) AS n_tokens, md5(array_to_string({tokens_sql('text')}, ' ')) AS digest FROM documents")
 def lexical_tokens(spark, sf_dir):
     t = tx.lexical_tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
 
 
 def _case(col: str) -> str:
@@ -207,10 +208,63 @@ def artifact_sync(spark, sf_dir):
     return tables.synced(p, counts, papers(spark, sf_dir).where("is_seed"))
 
 
-@query("missing_text_queue", "SELECT printf('%04d.%05d', doc_id % 3000, doc_id) AS paper_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0 ORDER BY 1")
+QUEUE = "CASE doc_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'not_found' END"
+
+
+@query("missing_text_queue", f"WITH {PAPERS_SQL}, d AS (SELECT printf('%04d.%05d', doc_id % 3000, doc_id) AS paper_id, {QUEUE} AS download, CASE WHEN doc_id % 5 = 0 THEN 'failed' END AS parsed, published FROM papers WHERE doc_id % 3 = 0) SELECT paper_id, published FROM d WHERE coalesce(download, '') NOT IN ('failed', 'skipped') AND coalesce(parsed, '') <> 'failed' ORDER BY published DESC NULLS FIRST, paper_id LIMIT 100")
 def missing_text_queue(spark, sf_dir):
-    d = papers(spark, sf_dir).select(F.format_string("%04d.%05d", F.col("doc_id") % 3000, "doc_id").alias("paper_id"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text")).alias("full_text"), F.when(F.col("doc_id") % 4 == 0, "failed").alias("download_status"))
-    return tables.missing_text(d, retry_failed=False).select("paper_id")
+    """The hundred papers that come first: the limit is the queue's."""
+    d = papers(spark, sf_dir)
+    status = F.when(F.col("doc_id") % 7 == 0, "failed").when(F.col("doc_id") % 7 == 1, "skipped").when(F.col("doc_id") % 7 == 2, "not_found")
+    d = d.select(F.format_string("%04d.%05d", F.col("doc_id") % 3000, "doc_id").alias("paper_id"), F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text")).alias("full_text"), status.alias("download_status"), F.when(F.col("doc_id") % 5 == 0, "failed").alias("parse_status"), "published")
+    return tables.missing_text(d, retry_failed=False, limit=100).select("paper_id", "published")
+
+
+@query("field_update", "SELECT doc_id AS paper_id, CASE WHEN doc_id = 5 THEN 'moved' ELSE source END AS source FROM documents")
+def field_update(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "source")
+    return tables.with_field(d, "paper_id", 5, "source", "mo\x00ved")
+
+
+@query("paper_lookup", f"WITH {PAPERS_SQL} SELECT paper_id, title, published FROM papers WHERE paper_id = 17")
+def paper_lookup(spark, sf_dir):
+    return tables.lookup(papers(spark, sf_dir), "paper_id", 17).select("paper_id", "title", "published")
+
+
+@query("paper_chunks", f"SELECT doc_id, chunk_index, chunk_text FROM ({ORACLES['chunk_token_windows']}) WHERE doc_id = 17")
+def paper_chunks(spark, sf_dir):
+    return tables.of_paper(chunk_token_windows(spark, sf_dir), 17, "doc_id").select("doc_id", "chunk_index", "chunk_text")
+
+
+@query("seed_scan", f"WITH {PAPERS_SQL} SELECT paper_id, published FROM papers WHERE is_seed")
+def seed_scan(spark, sf_dir):
+    return tables.seeds(papers(spark, sf_dir)).select("paper_id", "published")
+
+
+@query("work_order", "WITH w AS (SELECT d.doc_id AS paper_id, coalesce(l.toxic = 1, false) AS failed FROM documents d LEFT JOIN labels l USING (doc_id) WHERE NOT coalesce(l.quality = 0, false)) SELECT paper_id, failed, row_number() OVER (ORDER BY failed DESC, paper_id) AS place FROM w ORDER BY place LIMIT 200")
+def work_order(spark, sf_dir):
+    """The first two hundred items: the limit is the report's."""
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), (F.col("quality") == 0).alias("complete"), (F.col("toxic") == 1).alias("failed"))
+    first = tables.work_items(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id")), done).limit(200)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("failed"), "paper_id")))
+
+
+@query("rows_deleted", "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
+def rows_deleted(spark, sf_dir):
+    return tables.deleted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang")
+
+
+HINT_WORDS = ("Introduction", "Related Work", "Methods", "Experiments", "Ablation", "Conclusions", "Preliminaries")
+
+
+@query("section_hint", "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'introduction' WHEN 1 THEN 'related_work' WHEN 2 THEN 'method' WHEN 3 THEN 'experiments' WHEN 4 THEN 'results' WHEN 5 THEN 'conclusion' WHEN 6 THEN 'background' ELSE 'other' END AS hint FROM documents")
+def section_hint(spark, sf_dir):
+    """A heading put into each text, numbered but for every ninth; texts have none of their own."""
+    at = F.col("doc_id") % 9
+    name = F.get(F.array(*[F.lit(w) for w in HINT_WORDS]), at.cast("int"))
+    head = F.when(at < len(HINT_WORDS), F.concat(F.lit("3.1. "), name)).when(at == 7, F.lit("Methods")).otherwise(F.lit("4 Nothing"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("first\n"), head, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return d.select("doc_id", chunking.section_hint(F.col("text")).alias("hint"))
 
 
 @query("audit_antijoin", "SELECT 'documents_without_labels' AS gap, doc_id FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT 'documents_without_vectors', doc_id FROM documents d ANTI JOIN embeddings e ON d.doc_id = e.vec_id UNION ALL SELECT 'vectors_without_labels', vec_id FROM embeddings e ANTI JOIN labels l ON e.vec_id = l.doc_id")
@@ -221,12 +275,12 @@ def audit_antijoin(spark, sf_dir):
     return named("documents_without_labels", tables.orphans(d, lab, "doc_id")).unionByName(named("documents_without_vectors", tables.orphans(d, v, "doc_id"))).unionByName(named("vectors_without_labels", tables.orphans(v, lab, "doc_id")))
 
 
-@query("references_citations", "WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, CASE WHEN l_partkey % 2 = 0 THEN 'reference' ELSE 'citation' END AS direction FROM lineitem) SELECT 'reference' AS kind, source AS of_, p_partkey AS paper_id, p_name AS title FROM e JOIN part ON target = p_partkey WHERE direction = 'reference' AND source <= 10 UNION ALL SELECT 'citation', target, p_partkey, p_name FROM e JOIN part ON source = p_partkey WHERE direction = 'citation' AND target <= 200")
+@query("references_citations", "WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, CASE WHEN l_partkey % 2 = 0 THEN 'reference' ELSE 'citation' END AS direction FROM lineitem) SELECT 'reference' AS kind, source AS of_, p_partkey AS paper_id, p_name AS title FROM e JOIN part ON target = p_partkey WHERE direction = 'reference' UNION ALL SELECT 'citation', target, p_partkey, p_name FROM e JOIN part ON source = p_partkey WHERE direction = 'citation'")
 def references_citations(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.when(F.col("l_partkey") % 2 == 0, "reference").otherwise("citation").alias("direction")).distinct()
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"))
-    of = lambda kind, most: tables.related(p, e, kind).where(F.col("of") <= most).select(F.lit(kind).alias("kind"), F.col("of").alias("of_"), "paper_id", "title")
-    return of("reference", 10).unionByName(of("citation", 200))
+    of = lambda kind: tables.related(p, e, kind).select(F.lit(kind).alias("kind"), F.col("of").alias("of_"), "paper_id", "title")
+    return of("reference").unionByName(of("citation"))
 
 
 @query("undirected_edges", "SELECT DISTINCT * FROM (SELECT l_suppkey AS source, l_partkey AS target FROM lineitem UNION SELECT l_partkey, l_suppkey FROM lineitem)")
@@ -274,9 +328,18 @@ def gap_fill(spark, sf_dir):
     return reports.gap_fill(gaps, papers(spark, sf_dir).select("paper_id", "published"))
 
 
-@query("layer_quota", f"WITH {PAPERS_SQL}, a AS (SELECT paper_id, layer, row_number() OVER (PARTITION BY layer ORDER BY paper_id) AS arrival FROM papers) SELECT * FROM a WHERE arrival <= CASE layer WHEN 'core' THEN 50 WHEN 'foundation' THEN 31 ELSE 100000 END")
+QUOTA_LAYER = "CASE WHEN doc_id * 7 % 10 < 6 THEN 'latest' WHEN doc_id * 7 % 10 < 9 THEN 'core' ELSE 'foundation' END"
+
+
+@query("layer_quota", f"""WITH RECURSIVE a AS (SELECT doc_id AS paper_id, {QUOTA_LAYER} AS layer, row_number() OVER (ORDER BY doc_id) AS k FROM documents),
+s AS (SELECT 0::BIGINT AS k, 0::BIGINT AS latest, 0::BIGINT AS core, 0::BIGINT AS total, NULL::BIGINT AS paper_id, '' AS layer, false AS taken
+  UNION ALL SELECT x.k, latest + (ok AND x.layer = 'latest')::INT, core + (ok AND x.layer = 'core')::INT, total + ok::INT, x.paper_id, x.layer, ok FROM (
+    SELECT a.k, a.paper_id, a.layer, latest, core, total, CASE a.layer WHEN 'latest' THEN latest / greatest(total, 1) < 0.55::DOUBLE OR latest % 3 = 0 WHEN 'core' THEN core / greatest(total, 1) < 0.35::DOUBLE OR core % 3 = 0 ELSE true END AS ok FROM s JOIN a ON a.k = s.k + 1) x)
+SELECT paper_id, layer, total FROM s WHERE taken""")
 def layer_quota(spark, sf_dir):
-    return reports.quota(papers(spark, sf_dir).select("paper_id", "layer"), {"core": 50, "foundation": 30})
+    r = F.col("doc_id") * 7 % 10
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.when(r < 6, "latest").when(r < 9, "core").otherwise("foundation").alias("layer"))
+    return reports.quota(d)
 
 
 @query("papers_by_date", f"WITH {PAPERS_SQL} SELECT paper_id, published FROM papers ORDER BY published DESC, paper_id LIMIT 25")
@@ -305,9 +368,9 @@ def cache_impact(spark, sf_dir):
     return reports.cache_impact(table(spark, sf_dir, "events").withColumn("hit", F.col("user_id") % 3 == 0), "value", "hit", "event_type")
 
 
-@query("rolling_latency", "SELECT event_id, round(avg(value) OVER w, 8) AS rolling_avg, round(max(value) OVER w, 8) AS rolling_max FROM events WINDOW w AS (PARTITION BY ts::DATE ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
+@query("rolling_latency", "SELECT event_id, round(avg(value) OVER w, 8) AS rolling_avg, round(max(value) OVER w, 8) AS rolling_max FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 def rolling_latency(spark, sf_dir):
-    return chat.rolling(table(spark, sf_dir, "events"), "value", "ts", "event_id", rows=100).select("event_id", "rolling_avg", "rolling_max")
+    return chat.rolling(table(spark, sf_dir, "events"), "value", "ts", "event_id", rows=100, block=4096).select("event_id", "rolling_avg", "rolling_max")
 
 
 @query("throttle_window", "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w > 2 AS blocked FROM (SELECT *, epoch(date_trunc('second', ts))::BIGINT AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
@@ -350,11 +413,12 @@ def windows_session(spark, sf_dir):
     return ingest.sessions(table(spark, sf_dir, "events"), gap="6 hours")
 
 
-@query("quantize_int8", "SELECT vec_id, round(list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127, 8) AS scale FROM embeddings")
+@query("quantize_int8", "WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS scale FROM embeddings) SELECT vec_id, round(scale, 8) AS scale, array_to_string(list_transform(e, lambda x: round(x / greatest(scale, 1e-12))::INT), ',') AS codes FROM s")
 def quantize_int8(spark, sf_dir):
     from quarrystone.operators.dense import quantized
 
-    return quantized(table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))).select("vec_id", F.round("scale", 8).alias("scale"))
+    d = quantized(table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")))
+    return d.select("vec_id", F.round("scale", 8).alias("scale"), F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("codes"))
 
 
 def events_stream(spark, sf_dir):
@@ -366,8 +430,7 @@ def events_stream(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     """The same windows from a stream, run until its input is used up."""
     s = events_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid_of().hex}"
-    d = ingest.collected(lambda: ingest.windowed(s, "ts", "value", "6 hours", None, "1 day", "event_type"), name, "complete")
+    d = ingest.collected(lambda: ingest.windowed(s, "ts", "value", "6 hours", None, "1 day", "event_type"), "complete")
     return d.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -384,4 +447,4 @@ def stream_ingest(spark, sf_dir):
 def job_state(spark, sf_dir):
     """Jobs' states from their events: a sign-up stands for a failure, all else for progress."""
     e = events_stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "fail").otherwise("advance").alias("event"))
-    return ingest.collected(lambda: ingest.job_states(e), f"jobs_{uuid_of().hex}", "update")
+    return ingest.collected(lambda: ingest.job_states(e), "update", "job_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.query import gate_of, intent_of, is_summary, variants_of
 from quarrystone.functions.text import grounding_share
 from quarrystone.operators import context as packing
-from quarrystone.operators import dense, fusion, lexical, reports
+from quarrystone.operators import dense, fusion, holding, lexical, reports
 from quarrystone.plans import retrieve as whole
 from quarrystone.plans.base import BM25_SQL, PAPERS_SQL, budget_sql, intent_sql, papers, query, scores_sql, table, tokens_sql
 
@@ -21,7 +21,7 @@ QUESTIONS = "questions AS (SELECT item_id AS qid, text FROM benchmark)"
 
 
 def index_of(spark, sf_dir):
-    return lexical.build(table(spark, sf_dir, "documents"))
+    return lexical.of_snapshot(table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
 
 
 def rank_sql(source: str, most: str, ties: str = "doc_id") -> str:
@@ -63,14 +63,14 @@ def bm25_stats(spark, sf_dir):
 @query(
     "fts_weighted",
     f"""WITH {PAPERS_SQL}, {QUESTIONS},
-held AS (SELECT DISTINCT doc_id, term, w FROM (SELECT doc_id, unnest({tokens_sql('title')}) AS term, 1.0::DOUBLE AS w FROM papers UNION ALL SELECT doc_id, unnest({tokens_sql('abstract')}), 0.4::DOUBLE FROM papers UNION ALL SELECT doc_id, unnest({tokens_sql('authors')}), 0.2::DOUBLE FROM papers)),
+held AS (SELECT DISTINCT doc_id, term, w FROM (SELECT doc_id, unnest({tokens_sql('title')}) AS term, 1.0::DOUBLE AS w FROM papers UNION ALL SELECT doc_id, unnest({tokens_sql('abstract')}), 0.4::DOUBLE FROM papers UNION ALL SELECT doc_id, unnest({tokens_sql('authors')}), 0.2::DOUBLE FROM papers UNION ALL SELECT doc_id, unnest({tokens_sql('text')}), 0.1::DOUBLE FROM papers)),
 q AS (SELECT DISTINCT qid, unnest({tokens_sql('text')}) AS term FROM questions),
 scored AS (SELECT qid, doc_id, round(sum(w), 4) AS score FROM q JOIN held USING (term) GROUP BY ALL)
 SELECT qid, doc_id, score, rank FROM {rank_sql('scored JOIN (SELECT doc_id, published FROM papers) USING (doc_id)', '10', 'published DESC NULLS LAST, doc_id')}""",
 )
 def fts_weighted(spark, sf_dir):
     p = papers(spark, sf_dir)
-    found = lexical.weighted_fields(p, questions(spark, sf_dir), {"title": 1.0, "abstract": 0.4, "authors": 0.2})
+    found = lexical.weighted_fields(p, questions(spark, sf_dir), {"title": 1.0, "abstract": 0.4, "authors": 0.2, "text": 0.1})
     return lexical.ranked(found.join(p.select("doc_id", "published"), "doc_id"), ["qid"], 10, F.desc_nulls_last("published")).select("qid", "doc_id", "score", "rank")
 
 
@@ -78,12 +78,7 @@ def vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings")
 
 
-def asked(spark, sf_dir, most: int = 40):
-    """Vectors that stand for the first questions."""
-    return vectors(spark, sf_dir).where(F.col("vec_id") < most).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-
-
-def asked_all_over(spark, sf_dir, every: int = 20):
+def asked(spark, sf_dir, every: int = 20):
     """Vectors of every id divisible by ``every``: their number follows the table."""
     return vectors(spark, sf_dir).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
 
@@ -95,7 +90,8 @@ def asked_by_items(spark, sf_dir):
 
 
 DOT = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)"
-DENSE = f"dense AS (SELECT a.vec_id AS qid, b.vec_id, {DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 40)"
+DENSE = f"dense AS (SELECT a.vec_id AS qid, b.vec_id, {DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"
+DENSE_ITEMS = DENSE.replace("a.vec_id % 20 = 0", "a.vec_id IN (SELECT item_id FROM benchmark)")
 
 
 @query("dense_topk", f"WITH {DENSE} SELECT qid, vec_id, score, rank FROM {rank_sql('dense', '20', 'vec_id')}")
@@ -122,7 +118,7 @@ parents AS (SELECT label, list(x / norm ORDER BY i) AS v FROM means JOIN norms U
 @query(
     "parent_child_expand",
     f"""WITH {CENTROIDS}, {DENSE},
-docs AS (SELECT a.vec_id AS qid, parents.label, round(list_dot_product(a.embedding::DOUBLE[], v), 6) AS score FROM embeddings a, parents WHERE a.vec_id < 40),
+docs AS (SELECT a.vec_id AS qid, parents.label, round(list_dot_product(a.embedding::DOUBLE[], v), 6) AS score FROM embeddings a, parents WHERE a.vec_id % 20 = 0),
 top AS {rank_sql('docs', '5', 'label')},
 kids AS (SELECT top.qid, label, vec_id, round(greatest(1e-6, top.score) * greatest(1e-6, dense.score), 6) AS score, row_number() OVER (PARTITION BY top.qid, label ORDER BY dense.score DESC, vec_id) AS nth
   FROM top JOIN embeddings USING (label) JOIN dense USING (qid, vec_id))
@@ -169,7 +165,7 @@ def arms(spark, sf_dir):
     return d, lex, q.select("qid", intent_of(F.col("text")).alias("intent"), is_summary(F.col("text")).alias("summary"))
 
 
-FUSED = f"""{QUESTIONS}, {BM25_SQL}, {DENSE}, scored AS {scores_sql('questions')},
+FUSED = f"""{QUESTIONS}, {BM25_SQL}, {DENSE_ITEMS}, scored AS {scores_sql('questions')},
 lex AS {rank_sql('(SELECT * FROM scored WHERE score > 0)', '60')}, den AS {rank_sql('(SELECT qid, vec_id AS doc_id, score FROM dense)', '60')},
 intents AS (SELECT qid, {intent_sql('text')} AS intent FROM questions),
 pairs AS (SELECT qid, doc_id, den.rank AS dense_rank, lex.rank AS lexical_rank FROM den FULL JOIN lex USING (qid, doc_id)),
@@ -270,7 +266,7 @@ def layer_coverage(spark, sf_dir):
 @query("mmr_select")
 def mmr_select(spark, sf_dir):
     """Greedy selection over each question's nearest vectors: no SQL states it."""
-    found = dense.top(vectors(spark, sf_dir), asked_all_over(spark, sf_dir), 40)
+    found = dense.top(vectors(spark, sf_dir), asked(spark, sf_dir), 40)
     d = found.withColumn("intent", F.lit("discovery"))
     return fusion.mmr(d, vectors(spark, sf_dir), 10, key="vec_id")
 
@@ -317,10 +313,8 @@ RELEVANT = "rel AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN docu
 
 
 def relevant(spark, sf_dir):
-    """A question's relevant documents hold its text; the few questions are broadcast."""
-    q = questions(spark, sf_dir).withColumnRenamed("text", "item")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(q), F.contains(F.col("text"), F.col("item"))).select("qid", "doc_id")
+    """A question's relevant documents hold its text."""
+    return holding.holding(table(spark, sf_dir, "documents"), questions(spark, sf_dir))
 
 
 METRICS = f"""WITH {QUESTIONS}, {BM25_SQL}, scored AS {scores_sql('questions')}, {RELEVANT},

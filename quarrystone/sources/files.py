@@ -58,15 +58,19 @@ def write_by_year(d: DataFrame, path: str, year: str = "year") -> None:
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside and renamed, so that a reader sees the old or the new."""
+    """Written beside and renamed over the old one in one step, so that a reader sees the old or the new."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    to, by = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
-    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    conf = spark._jsc.hadoopConfiguration()
+    by = hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = by.getFileSystem(conf)
     out = fs.create(by, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(to, False)
-    fs.rename(by, to)
+    by, to = fs.makeQualified(by), fs.makeQualified(hadoop.Path(path))
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(to.toUri(), conf).rename(by, to, options)
 
 
 def publish(tables: dict[str, DataFrame], root: str, **extra) -> str:

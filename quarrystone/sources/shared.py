@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -9,16 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder of its own where that is unset (tests)."""
+    """The session's spark.checkpoint.dir.  Where that is unset, a local master gets a temporary
+    folder (tests); a cluster has none that all its machines see, so it's an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext._jsc.sc()
+    if not path and sc.getCheckpointDir().isDefined():
+        path = sc.getCheckpointDir().get()
     if not path:
-        there = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = there.get() if there.isDefined() else tempfile.mkdtemp(prefix="quarrystone-")
-        if not there.isDefined():
-            spark.sparkContext.setCheckpointDir(path)
+        if not sc.isLocal():
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="quarrystone-")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def version_of(spark: SparkSession, path: str) -> str:
+    """Stands for what is at a path: its length, its number of files and when it was changed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(at)
+    return hashlib.sha1(f"{path}|{held.getLength()}|{held.getFileCount()}|{fs.getFileStatus(at).getModificationTime()}".encode()).hexdigest()[:20]
+
+
+def is_there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stored(d: DataFrame, name: str) -> DataFrame:
     """Written and read again: what follows doesn't compute it anew, nor when executors are lost."""
     path = f"{shared_dir(d.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrystone.operators.chunking import token_windows
+from quarrystone.sources.shared import shared_dir
 
 #: The way of a job; what may follow each state.
 NEXT = {"queued": "downloading", "downloading": "chunking", "chunking": "embedding", "embedding": "done"}
@@ -61,13 +63,20 @@ def step(state: str, event: str) -> str:
 
 
 def job_states(events: DataFrame, job: str = "job_id", event: str = "event", order: str = "seq") -> DataFrame:
-    """A table's or a stream's job events to each job's state so far."""
+    """A stream's job events to each job's state so far.  A job's events of one trigger come in
+    any order and in any number of frames.  Only the first that ends it and as many of the first
+    steps forward as a job has can matter, so these are all that is kept of them."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else "queued"
+        forward, ending = [], []
         for f in frames:
-            for e in f.sort_values(order)[event]:
-                now = step(now, e)
+            on = f[event] == "advance"
+            forward = sorted([*forward, *((x, "advance") for x in f.loc[on, order].nsmallest(len(NEXT)))])[: len(NEXT)]
+            ends = f[f[event].isin(["fail", "cancel"])]
+            ending = sorted([*ending, *zip(ends[order], ends[event], strict=True)])[:1]
+        now = state.get[0] if state.exists else "queued"
+        for _, e in sorted([*forward, *ending]):
+            now = step(now, e)
         state.update((now,))
         yield pd.DataFrame({job: [key[0]], "state": [now]})
 
@@ -75,9 +84,22 @@ def job_states(events: DataFrame, job: str = "job_id", event: str = "event", ord
     return events.groupBy(job).applyInPandasWithState(run, f"{job} {kind}, state string", "state string", "update", GroupStateTimeout.NoTimeout)
 
 
-def collected(query_of: Callable[[], DataFrame], name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns its table: for tests and small results."""
+def collected(query_of: Callable[[], DataFrame], mode: str = "append", key: str | None = None) -> DataFrame:
+    """Runs a stream over what there is and returns what it wrote to the shared folder, a folder
+    for each batch; with ``key``, only the latest row of each key."""
     d = query_of()
-    q = d.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return d.sparkSession.table(name)
+    spark = d.sparkSession
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], d.schema).write.parquet(f"{out}/batch=-1")
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    d.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(out)
+    if mode == "complete":  # each batch has all of it
+        return found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch")
+    if key is None:
+        return found.drop("batch")
+    rest = [c for c in d.columns if c != key]
+    return found.groupBy(key).agg(F.max(F.struct("batch", *rest)).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in rest]).select(d.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarrystone import config
 from quarrystone.functions import query as qx
 from quarrystone.functions import text as tx
-from quarrystone.operators import chunking, context, dense, fusion, lexical, reports, tables
+from quarrystone.operators import chat, chunking, context, dense, fusion, holding, lexical, reports, tables
 from quarrystone.plans import rebuild, retrieval, retrieve
 from quarrystone.sources import files
 from quarrystone.sources.paged import SavedPages
@@ -267,3 +267,66 @@ def test_job_steps():
     seen = [state := ingest.step(state, "advance") for _ in range(5)]
     assert seen == ["downloading", "chunking", "embedding", "done", "done"]
     assert ingest.step("chunking", "cancel") == "cancelled" and ingest.step("cancelled", "advance") == "cancelled" and ingest.step("queued", "fail") == "failed"
+
+
+def test_questions_in_passes_and_frames(spark, monkeypatch):
+    """Passes over the questions and small batches of vectors change nothing."""
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.normal(size=4).round(1).tolist()) for i in range(300)], "vec_id long, embedding array<float>").repartition(3)
+    q = v.where("vec_id % 20 = 0").selectExpr("vec_id qid", "embedding vector")
+    of = lambda: sorted(tuple(r) for r in dense.top(v, q, 7).collect())
+    whole = of()
+    x = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in v.collect()}
+    for i in range(0, 300, 20):
+        best = sorted((-round(float(x[i] @ x[j]), 6), j) for j in x)[:7]
+        assert [(s, j) for qid, j, s, _ in sorted(whole, key=lambda r: r[3]) if qid == i] == [(-s, j) for s, j in best]
+    monkeypatch.setattr(dense, "MOST_NUMBERS", 20)
+    monkeypatch.setattr(dense, "BLOCK", 16)
+    assert of() == whole
+
+
+def test_quota_and_rolling_by_hand(spark):
+    layers = ["latest"] * 5 + ["foundation"] * 2 + ["core"] * 6 + ["latest", "foundation"] * 6
+    got = [r["paper_id"] for r in reports.quota(spark.createDataFrame(list(enumerate(layers)), "paper_id int, layer string")).orderBy("total").collect()]
+    count, expected = {}, []
+    for i, layer in enumerate(layers):
+        n, total = count.get(layer, 0), max(1, sum(count.values()))
+        if {"latest": 0.55, "core": 0.35}.get(layer, 1) >= 1 or n / total < {"latest": 0.55, "core": 0.35}[layer] or n % 3 == 0:
+            count[layer] = n + 1
+            expected.append(i)
+    assert got == expected
+    d = spark.range(500).selectExpr("id", "timestamp_seconds(id * 977) ts", "cast(id * 37 % 101 as double) value")
+    out = {r["id"]: (r["rolling_avg"], r["rolling_max"]) for r in chat.rolling(d, "value", "ts", "id", rows=50, block=60).collect()}
+    values = [i * 37 % 101 for i in range(500)]
+    assert out == {i: (round(float(np.mean(values[max(0, i - 49) : i + 1])), 8), float(max(values[max(0, i - 49) : i + 1]))) for i in range(500)}
+
+
+def test_holding_and_manifest(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a bc d"), (2, None), (3, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "bc"), (8, ""), (9, None), (10, "bc"), (11, "zz")], "qid long, text string")
+    assert sorted(tuple(r) for r in holding.holding(docs, items).collect()) == [(7, 1), (10, 1)]
+    assert holding.holding(docs, items.limit(0)).count() == 0
+    for _ in range(2):
+        version = files.publish({"docs": docs}, str(tmp_path / "snap"))
+        assert files.manifest(spark, str(tmp_path / "snap"))["corpus_version"] == version and files.snapshot(spark, str(tmp_path / "snap"), "docs").count() == 3
+    index = lexical.of_snapshot(docs, str(tmp_path / "snap"))
+    again = lexical.of_snapshot(docs, str(tmp_path / "snap"))
+    assert index.postings.inputFiles() == again.postings.inputFiles() and again.consistent()
+    files.write_by_year(docs.withColumn("year", F.lit(2020)), str(tmp_path / "years"))
+    assert spark.read.parquet(str(tmp_path / "years")).count() == 3
+    files.append_log(docs, str(tmp_path / "log"))
+    files.append_log(docs, str(tmp_path / "log"))
+
+
+def test_frames_of_jobs(spark):
+    """A job's events in several frames and any order; final states stay."""
+    events = [("a", k, "advance") for k in range(6)] + [("b", 5, "fail"), *[("b", k, "advance") for k in (9, 1, 7)]] + [("c", 2, "cancel"), ("c", 3, "fail")] + [("d", k, "advance") for k in range(3)]
+    where = spark.conf.get("spark.checkpoint.dir") + "/jobs-in"
+    spark.createDataFrame(events, "job_id string, seq long, event string").orderBy(F.desc("seq")).coalesce(1).write.parquet(where)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        d = ingest.stream_table(spark, where, spark.read.parquet(where).schema)
+        got = {r["job_id"]: r["state"] for r in ingest.collected(lambda: ingest.job_states(d), "update", "job_id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {"a": "done", "b": "failed", "c": "cancelled", "d": "embedding"}
