@@ -10,10 +10,12 @@ each pass, until the budget is met; the last block is cut between documents.
 Without a budget, the mix is as large as gives the least repeated source one
 whole pass, so that no document is lost.
 
+A target that no exponent meets is an error that tells what can be met.
+
 Defined results: a null source is a source of its own; a null or empty text has
 no tokens; a source without tokens gets one pass; rows with equal ids take the
 same place in the order; an empty input gives an empty mix; all columns of the
-input come back.
+input come back; texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -72,12 +74,21 @@ def find_alpha(totals: DataFrame, target: Target, *, points: int = 32, digits: i
         tried = _figures(totals, [low + (high - low) * k / points for k in range(points + 1)])
         if not tried:
             return 1.0, 1.0, float(all_tokens)
-        k = next((k for k, x in enumerate(tried) if enough(x)), len(tried) - 1)
+        k = next((k for k, x in enumerate(tried) if enough(x)), None)
+        if k is None or (k == 0 and low == 0 and target.entropy is not None and tried[0][1] < target.entropy - 1e-9):
+            raise ValueError(_unmet(target, tried, all_tokens))
         low, high, at = tried[max(0, k - 1)][0], tried[k][0], tried[k]
         if k == 0 or high - low < 10**-digits:
             return at[0], at[4], target.budget * all_tokens if target.budget is not None else 1 / at[3]
 
 
+def _unmet(target: Target, tried: list[tuple[float, float, float, float]], all_tokens: int) -> str:
+    if target.entropy is not None:
+        return f"no exponent in [0, 1] gives an entropy of {target.entropy}: they give {tried[-1][1]:.6g} to {tried[0][1]:.6g}"
+    least = target.budget * all_tokens * tried[-1][2] if target.budget is not None else tried[-1][2] / tried[-1][3]
+    return f"no exponent in [0, 1] keeps all sources within {target.most_repeats} passes: {least:.6g} is the least"
+
+
 def _places(seed: int, doc_id: str) -> tuple[Column, Column]:
     """A document's block within its source, and its place within the block."""
     h = F.xxhash64(F.lit(seed), F.col(doc_id))
