@@ -10,8 +10,10 @@ at the bounds of what the assistant says; a turn's place in its conversation the
 running sum of token counts.
 
 Defined results: a null role or text is empty; turns with equal numbers are ordered
-by role and tokens; a null conv_id or turn is a value like any other and sorts first;
-only the named columns of the input are read; an empty table gives no rows.
+by role and text in digests, by tokens in a conversation's places; repeated rows are
+turns of their own; a null conv_id or turn is a value like any other and sorts first;
+ids may be of any type; texts of any length are formatted whole; only the named columns
+of the input are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,49 +110,72 @@ def in_order(formatted: DataFrame) -> DataFrame:
     return formatted.withColumn("start", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
 
 
-def read_turn(tokens: np.ndarray, mask: np.ndarray, encoder, first_id: int) -> tuple[str, str, str]:
-    """Role, text and what the mask covers, read back from a turn's ids."""
-    a, b, c = (int(np.flatnonzero(tokens == first_id + k)[0]) for k in range(3))
-    said = lambda ids, role=False: unescape(encoder.decode_bytes(ids.tolist()).decode(), role)
-    return said(tokens[a + 1 : b], True), said(tokens[b + 1 : c]), said(tokens[mask.astype(bool)])
+def read_turn(tokens: np.ndarray, mask: np.ndarray, encoder, first_id: int) -> tuple[str, str, str, int]:
+    """Role, text, what the mask covers, and how many characters the turn shows, read back from
+    its ids: they are put into characters, control strings for reserved ids, and parsed."""
+    marks = {first_id: OPEN, first_id + 1: ROLE_END, first_id + 2: CLOSE + LINE}
+    cuts = np.flatnonzero(tokens >= first_id)
+    shown, at = [], 0
+    for cut in cuts.tolist():
+        shown += [encoder.decode_bytes(tokens[at:cut].tolist()).decode(), marks[int(tokens[cut])]]
+        at = cut + 1
+    whole = "".join(shown)
+    ((role, text),) = parse(whole)
+    return role, text, unescape(encoder.decode_bytes(tokens[mask.astype(bool)].tolist()).decode()), len(whole)
+
+
+def read_back(formatted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """conv_id, turn, role, text, loss (null outside the mask), n_chars, n_tokens of every turn,
+    read back from its tokens: no shuffle."""
+    d = formatted.select("conv_id", "turn", "tokens", "loss_mask", "n_tokens")
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, _ = vocabulary.load()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                tokens, masks = batch.column("tokens"), batch.column("loss_mask")
+                turns = [read_turn(np.asarray(tokens[k].values), np.asarray(masks[k].values), encoder, vocabulary.size) for k in range(batch.num_rows)]
+                roles, texts, losses, chars = zip(*turns, strict=True) if turns else ((),) * 4
+                yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array([x or None for x in losses], pa.string()), pa.array(chars, pa.int64()), batch.column("n_tokens")], ["conv_id", "turn", "role", "text", "loss", "n_chars", "n_tokens"])
+
+    return d.mapInArrow(read, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, loss string, n_chars long, n_tokens long")
 
 
 def digests(formatted: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """One row per conversation, read back from the tokens turn by turn.  A digest needs
-    a conversation's turns in a row: they stream past, and only hash states are kept."""
-    ordered = formatted.select("conv_id", "turn", "tokens", "loss_mask", "n_tokens", "n_chars").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tokens")
+    """One row per conversation, read back from the tokens turn by turn.  A digest needs a
+    conversation's turns in a row: what was read back streams past, sorted with spills, and
+    only hash states are kept; all else is done per turn before."""
+    turns = read_back(formatted, vocabulary).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = formatted.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
+    counts = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, of = None, None, None
+
+        def rows(done: list) -> pa.RecordBatch:
+            values = [[k, h[0], h[1].hexdigest(), h[2], h[3].hexdigest(), h[4], h[5]] for k, h in done]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*values, strict=True), [of, *counts], strict=True)], names)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = vocabulary.load()
-        held, key = None, None
         for batch in batches:
-            done = []
-            keys = batch.column("conv_id").to_pylist()
-            columns = [batch.column(n) for n in ("tokens", "loss_mask", "n_tokens", "n_chars")]
-            for k, conv in enumerate(keys):
+            done, of = [], batch.column("conv_id").type
+            for conv, role, text, loss, chars, n in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "loss", "n_chars", "n_tokens")), strict=True):
                 if held is None or conv != key:
                     if held is not None:
                         done.append((key, held))
                     held, key = [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], conv
-                tokens, mask = (np.asarray(c[k].values) for c in columns[:2])
-                role, text, loss = read_turn(tokens, mask, encoder, vocabulary.size)
+                loss = loss or ""
                 held[0] += 1
                 held[1].update(f"{role}\n{text}\n".encode())
                 held[2] += len(loss)
                 held[3].update(loss.encode())
-                held[4] += columns[3][k].as_py()
-                held[5] += columns[2][k].as_py()
+                held[4] += chars
+                held[5] += n
             if done:
-                yield _rows(done)
+                yield rows(done)
         if held is not None:
-            yield _rows([(key, held)])
-
-    def _rows(done) -> pa.RecordBatch:
-        kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        kinds[0] = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-        values = [[k, h[0], h[1].hexdigest(), h[2], h[3].hexdigest(), h[4], h[5]] for k, h in done]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*values, strict=True), kinds, strict=True)], names)
+            yield rows([(key, held)])
 
-    return ordered.mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return turns.mapInArrow(digested, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
