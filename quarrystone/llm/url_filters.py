@@ -1,14 +1,19 @@
 """URL filters: rules first, then trust and distrust over the host graph.
 
-Links between hosts come from the pages' ``href`` attributes.  Trust flows
+Links between hosts come from the pages' ``href`` attributes, those without a scheme
+(``//host/...``) among them; links within a site stay in its host.  Trust flows
 from hosts with allowed pages along the links, distrust from hosts with blocked
-pages against them (personalised PageRank with teleport to the seeds).  A page
+pages against them (personalised PageRank with teleport to the seeds, which what hosts without links hold
+returns to).  Seeds of both kinds share one mass by their pages, so a few blocked pages
+don't outweigh many trusted ones.  A page
 that no rule fits is blocked if its host's distrust is at least ``threshold`` of
 trust plus distrust, else allowed.
 
 Defined results: a url that is null or lacks ``://`` has an empty host and path
 and is allowed if no rule fits; a null page text has no links; repeated rows are
-judged each for itself; only the named columns of the input are read.
+judged each for itself; a page of no rule whose host's distrust is just the threshold is
+blocked; urls and texts of any length are read whole; an empty table gives no rows; only
+the named columns of the input are read.
 """
 
 from __future__ import annotations
@@ -47,17 +52,19 @@ def longest_rule(host: Column, path: Column, rules: Rules) -> tuple[Column, Colu
 
 def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """(src, dst, n): how many links lead from one host to another."""
-    urls = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""), F.lit(1))
-    links = pages.select(F.col("host").alias("src"), F.explode(urls).alias("to")).select("src", host_of(F.col("to")).alias("dst"))
+    urls = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"""(?i)href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), F.lit(1))
+    links = pages.select(F.col("host").alias("src"), F.explode(urls).alias("to")).select("src", host_of(F.when(F.col("to").startswith("//"), F.concat(F.lit(":"), F.col("to"))).otherwise(F.col("to"))).alias("dst"))
     return links.where((F.col("dst") != "") & (F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, most_rounds: int = 1000, rounds_per_table: int = 4) -> DataFrame:
     """Personalised PageRank of both kinds at once: (host, kind, score).
 
-    ``seeds``: (host, kind, mass), each kind's masses summing to one.  Kind
-    ``trust`` follows a link, kind ``distrust`` goes back along it.  Rounds go on until
-    scores move by ``tolerance`` at most and no host is reached for the first time."""
+    ``seeds``: (host, kind, mass).  Kind ``trust`` follows a link, kind ``distrust`` goes
+    back along it.  Rounds go on until scores move by ``tolerance`` at most and no host is
+    reached for the first time.  They lose what hosts without links hold; giving it back to
+    the seeds in each round multiplies all scores of a kind by one number, so it is done
+    once, at the end: a kind's scores sum to its seeds' masses."""
     one = links.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "n")
     back = links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "n")
     both = one.unionByName(back)
@@ -82,10 +89,15 @@ def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tole
                 dropped(held)
             held = ranks
             if (moved or 0.0) <= tolerance and not new:
-                return ranks
+                return _whole(ranks, seeds)
     raise RuntimeError(f"scores of hosts don't settle in {most_rounds} rounds")
 
 
+def _whole(ranks: DataFrame, seeds: DataFrame) -> DataFrame:
+    sums = ranks.groupBy("kind").agg(F.sum("score").alias("got")).join(seeds.groupBy("kind").agg(F.sum("mass").alias("due")), "kind")
+    return ranks.join(F.broadcast(sums), "kind").select("host", "kind", (F.col("score") * F.col("due") / F.col("got")).alias("score"))
+
+
 def judge_urls(pages: DataFrame, rules: Rules, *, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page."""
     p = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
@@ -94,8 +106,7 @@ def judge_urls(pages: DataFrame, rules: Rules, *, page_id: str = "page_id", url:
     judged = p.where(F.col("by_rule").isNotNull() & (F.col("host") != ""))
     kind = F.when(F.col("by_rule") == "block", "distrust").otherwise("trust")
     seeds = judged.groupBy("host", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    total = seeds.groupBy("kind").agg(F.sum("n").alias("all"))
-    seeds = seeds.join(F.broadcast(total), "kind").select("host", "kind", (F.col("n") / F.col("all")).alias("mass"))
+    seeds = seeds.join(F.broadcast(seeds.agg(F.sum("n").alias("all")))).select("host", "kind", (F.col("n") / F.col("all")).alias("mass"))
     ranks = propagate(host_links(p), seeds, **options)
     of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k)
     hosts = ranks.groupBy(F.col("host").alias("at")).agg(of("trust"), of("distrust"))
