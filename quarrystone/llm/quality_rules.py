@@ -163,14 +163,14 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str] = FEATURES, *,
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", quality: str = "quality", max_rows: int = 20_000, **options) -> DecisionList:
     """Learns from at most ``max_rows`` labelled documents, those of smallest id hash; of an
-    id with several rows from its smallest text.
+    id with several rows from the smallest figures.
 
     Only ids and numbers of this bounded sample come to the driver."""
     y = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(quality).alias("__y"))
     y = y.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     of = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chosen = of.join(F.broadcast(y), "__id").groupBy("__id", "__y").agg(F.min("text").alias("text"))
-    rows = statistics(chosen).where(~base_failed()).select(f"{ROW}.__id", f"{ROW}.__y", *FEATURES).collect()
+    each = statistics(of.join(F.broadcast(y), "__id")).where(~base_failed()).select(f"{ROW}.__id", f"{ROW}.__y", F.struct(*FEATURES).alias("f"))
+    rows = each.groupBy("__id", "__y").agg(F.min("f").alias("f")).select("__id", "__y", "f.*").collect()
     rows = sorted(rows, key=lambda r: tuple(r[2:]) + tuple(r[:2]))
     rng = np.random.default_rng(0).permutation(len(rows))
     rows = [rows[k] for k in rng]
