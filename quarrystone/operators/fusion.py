@@ -89,11 +89,19 @@ def above_threshold(d: DataFrame, intent: Column) -> DataFrame:
     return d.withColumn("top", top).where(~strict | (F.col("score") >= F.least(F.col("top"), F.greatest(F.lit(0.2), 0.7 * F.col("top"))))).drop("top")
 
 
-def with_foundation(pool: DataFrame, n: int) -> DataFrame:
+def context_size(intent: Column, asked: int, chat: bool = False) -> Column:
+    """Passages of an answer: what the intent takes, a query's at most as many as asked for,
+    a chat's at least as many."""
+    size = by_intent(intent, "context")
+    return F.greatest(F.lit(asked), size) if chat else F.least(F.lit(asked), size)
+
+
+def with_foundation(pool: DataFrame, n: int | Column) -> DataFrame:
     """The best n of each question; if none is foundational, the last gives way to the
     pool's best that is."""
     base = F.col("layer").isin("prerequisite", "foundation")
-    d = pool.withColumn("size", F.least(F.lit(n), F.count(F.lit(1)).over(Window.partitionBy("qid"))))
+    n = F.lit(n) if isinstance(n, int) else n
+    d = pool.withColumn("size", F.least(n, F.count(F.lit(1)).over(Window.partitionBy("qid"))))
     d = d.withColumn("has", F.max(F.when((F.col("rank") <= n) & base, 1).otherwise(0)).over(Window.partitionBy("qid")))
     d = d.withColumn("best", F.min(F.when(base, F.col("rank"))).over(Window.partitionBy("qid")))
     swap = (F.col("has") == 0) & F.col("best").isNotNull()

@@ -131,18 +131,23 @@ def candidates(corpus: Corpus, questions: DataFrame, flags: Flags = Flags(), fil
     if flags.lexical:
         scored = lexical.scores(corpus.index, lexical.question_terms(v, "qid", "text", "v"), ["qid", "v"]).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
         scored = scored.where("score > 0").join(F.broadcast(intents), "qid")
-        five = lexical.ranked(scored, ["qid"], 5 * fusion.by_intent(F.col("intent"), "k_lexical"))
+        five = lexical.ranked(scored, ["qid"], 5 * most_lexical)  # a constant first: each task then keeps no more
+        five = five.where(F.col("rank") <= 5 * fusion.by_intent(F.col("intent"), "k_lexical"))
         if filters != Filters():
             five = five.join(corpus.chunks.where(filters.of()).select("doc_id"), "doc_id", "left_semi")
         lex = lexical.ranked(five.drop("rank"), ["qid"], min(3 * most_lexical, 10_000))
     return fusion.fused(den, lex, intents)
 
 
-def retrieve(corpus: Corpus, questions: DataFrame, *, as_of: str, top_n: int = 10, flags: Flags = Flags(), filters: Filters = Filters(), encode: Callable[[DataFrame], DataFrame] = encoded, scorer: Callable[[DataFrame, DataFrame, lexical.Index], DataFrame] = coverage) -> DataFrame:
-    """qid, place, doc_id, paper_id, title, section, layer, score, intent of the passages."""
+def retrieve(corpus: Corpus, questions: DataFrame, *, as_of: str, top_n: int = 10, context: str | None = None, flags: Flags = Flags(), filters: Filters = Filters(), encode: Callable[[DataFrame], DataFrame] = encoded, scorer: Callable[[DataFrame, DataFrame, lexical.Index], DataFrame] = coverage) -> DataFrame:
+    """qid, place, doc_id, paper_id, title, section, layer, score, intent of the passages: ``top_n``
+    of a question, or with ``context`` (query or chat) as many as its intent takes, within that
+    or from that on.  Candidates that the chunks don't have stay, without a paper or a text."""
     scoped = filters.paper_id is not None
+    wanted = F.lit(top_n) if context is None else fusion.context_size(F.col("intent"), top_n, context == "chat")
+    most = max(top_n, *(b.context for b in config.BUDGETS.values())) if context == "chat" else top_n
     found = stored(candidates(corpus, questions, flags, filters, encode), "candidates")
-    d = found.join(corpus.chunks, "doc_id")
+    d = found.join(corpus.chunks, "doc_id", "left").fillna({"title": "", "section": "other", "layer": "core", "text": ""})
     if flags.boosts:
         if corpus.edges is not None and not scoped:
             d = fusion.boosted_citations(d, corpus.edges)
@@ -154,17 +159,17 @@ def retrieve(corpus: Corpus, questions: DataFrame, *, as_of: str, top_n: int = 1
     d = fusion.reranked(fusion.capped(d, 6 if scoped else config.PAPER_CAP))
     d = stored(d.drop("text"), "pool")  # a few rows a question from here on
     if flags.rerank:
-        pool = d.where(F.col("rank") <= F.greatest(F.lit(2 * top_n), fusion.by_intent(F.col("intent"), "reranked") + 8))
+        pool = d.where(F.col("rank") <= F.greatest(2 * wanted, fusion.by_intent(F.col("intent"), "reranked") + 8))
         d = pool.join(scorer(pool, questions, corpus.index), ["qid", "doc_id"]).withColumn("score", F.col("rerank"))
     if flags.boosts:
         factor = fusion.section_factor(F.col("section"), F.col("intent")) * fusion.recency_factor(F.col("published"), F.col("intent"), as_of)
         d = d.withColumn("score", F.round(F.col("score") * factor, 6))
     d = stored(fusion.reranked(d), "scored")
     if flags.mmr:
-        order = fusion.mmr(d, corpus.vectors, top_n)
+        order = fusion.mmr(d, corpus.vectors, most)
         d = d.join(order, ["qid", "doc_id"], "left").withColumn("at", F.coalesce("position", F.col("rank") + F.lit(10**6)))
         d = d.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at"))).drop("at", "position")
-    d = fusion.with_foundation(d, top_n)
+    d = fusion.with_foundation(d, wanted)
     if flags.threshold and flags.rerank:
         d = fusion.above_threshold(d, F.col("intent"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))

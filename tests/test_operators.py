@@ -330,3 +330,14 @@ def test_frames_of_jobs(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {"a": "done", "b": "failed", "c": "cancelled", "d": "embedding"}
+
+
+def test_context_sizes(spark):
+    """Each intent's number of passages, least with a query's, greatest with a chat's."""
+    sizes = {config.EXPLANATORY: 6, config.TECHNICAL: 4, config.EVIDENCE: 4, config.COMPARATIVE: 6, config.SOTA: 8, config.DISCOVERY: 10}
+    d = spark.createDataFrame([(i,) for i in sizes], "intent string")
+    got = d.select("intent", fusion.context_size(F.col("intent"), 5), fusion.context_size(F.col("intent"), 5, chat=True)).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == {i: (min(5, n), max(5, n)) for i, n in sizes.items()}
+    pool = spark.createDataFrame([(q, k, "core" if k < 9 else "foundation", i) for q, i in enumerate(sizes) for k in range(1, 12)], "qid int, rank int, layer string, intent string")
+    kept = fusion.with_foundation(pool, fusion.context_size(F.col("intent"), 5)).groupBy("intent").agg(F.sort_array(F.collect_list("rank"))).collect()
+    assert {r[0]: r[1] for r in kept} == {i: [*range(1, min(5, n)), 9] for i, n in sizes.items()}
