@@ -143,6 +143,27 @@ def test_token_counts(spark, rule):
             assert [got[i][k][2] for k in range(len(lines))] == np.bincount(of, minlength=len(lines)).tolist()
 
 
+def test_most_characters_decide(spark):
+    """Rule ``most`` by hand: each token to the line with most of its characters, the first of equals."""
+    texts = ["ab\n\n\n  cd ef\n", " \n \n x\n\n\n\n\ny", "é\n\n\té", "one\n two\n\n" * 400]
+    d = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string").withColumn("section", F.lit("clash"))
+    v = Vocabulary(spark)
+    encoder, _ = v.load()
+    got = defaultdict(dict)
+    for r in token_counts.count_sections(d, v, rule="most").collect():
+        got[r["doc_id"]][r["section"]] = r["n_tokens"]
+    for i, t in enumerate(texts * 2):
+        line = np.cumsum([0, *(c == "\n" for c in t)])[:-1]
+        expected, at = Counter(), 0
+        for token in encoder.encode_ordinary(t):
+            part = encoder.decode([token])
+            held = Counter(line[at : at + len(part)].tolist())
+            expected[max(held, key=lambda k: (held[k], -k))] += 1
+            at += len(part)
+        assert {k: n for k, n in got[i].items() if n} == expected
+    assert token_counts.count_sections(d.limit(0), v, rule="most").count() == 0
+
+
 def test_boundary_rules():
     bounds, first, last = np.array([0, 3, 10]), np.array([0, 1, 8]), np.array([0, 7, 9])
     assert token_counts.attribute(first, last, bounds, "start").tolist() == [0, 0, 1]
