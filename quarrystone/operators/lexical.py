@@ -103,7 +103,10 @@ def top_then_filter(index: Index, questions: DataFrame, docs: DataFrame, keep: C
 
 def weighted_fields(docs: DataFrame, questions: DataFrame, fields: dict[str, float]) -> DataFrame:
     """(qid, doc_id, score): each distinct term of a question that a field holds brings the field's weight."""
-    weighed = lambda f, w: F.transform(F.array_distinct(lexical_tokens(F.col(f))), lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
-    terms = F.array_distinct(F.concat(*[weighed(f, w) for f, w in fields.items()]))
+    by_weight: dict[float, list[str]] = {}
+    for f, w in fields.items():
+        by_weight.setdefault(w, []).append(f)
+    weighed = lambda fs, w: F.transform(F.array_distinct(F.concat(*[lexical_tokens(F.col(f)) for f in fs])), lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
+    terms = F.concat(*[weighed(fs, w) for w, fs in by_weight.items()])
     held = docs.select("doc_id", F.explode(terms).alias("x")).select("doc_id", "x.term", "x.weight")
     return held.join(question_terms(questions), "term").groupBy("qid", "doc_id").agg(F.round(F.sum("weight"), 4).alias("score"))
