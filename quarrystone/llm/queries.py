@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import chat_format, decontaminate, jaccard_join, language_model, mixing, quality_rules, sharding, token_counts, toxicity, url_filters
-from quarrystone.llm.common import id_crc32, read_table
+from quarrystone.llm import chat_format, click_dedup, decontaminate, jaccard_join, language_model, mixing, periodic_runs, quality_rules, sharding, token_counts, token_files, toxicity, url_filters
+from quarrystone.llm.common import id_crc32, read_table, shared_dir, words_of
 from quarrystone.llm.tokenizer import Vocabulary
 
 URL_RULES = [
@@ -73,8 +75,76 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"), 8)
 
 
+def utc_hours(at: Column) -> Column:
+    """Whole hours since 1970 of a time without a zone, taken as UTC whatever the session's zone."""
+    return F.unix_date(at.cast("date")).cast("long") * 24 + F.hour(at)
+
+
+def utc_micros(at: Column) -> Column:
+    within = F.minute(at).cast("long") * 60_000_000 + (F.date_part(F.lit("SECOND"), at) * 1_000_000).cast("long")
+    return utc_hours(at) * 3_600_000_000 + within
+
+
+def click_copies(clicks: DataFrame) -> DataFrame:
+    """key, hour, level and digest of each row's copies 0 to click_id % 3."""
+    d = clicks.where("click_id is not null and arrived_at is not null")
+    d = d.withColumn("j", F.explode(F.sequence(F.lit(0), F.pmod("click_id", F.lit(3)).cast("int")))).withColumn("c", F.crc32(F.concat_ws(":", F.col("click_id").cast("string"), F.col("j").cast("string")).cast("binary")))
+    d = d.withColumn("hour", utc_hours(F.col("arrived_at")) + 6 * F.col("j") * (F.col("c") % 10))
+    fields = [F.col("client_id"), F.col("kind"), F.floor(100 * F.col("value") + 0.5), utc_micros(F.col("ts")), F.col("props"), F.col("c") % 3]
+    text = F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields])
+    return d.select(F.col("click_id").cast("long").alias("key"), "hour", (F.col("hour") + F.floor(F.col("c") / 10) % 200).alias("level"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+
+
+def op11_click_dedup(spark: SparkSession, sf_dir: str, batches: int = 12, rows_a_group: int = 1000) -> DataFrame:
+    copies = click_copies(read_table(spark, sf_dir, "clicks"))
+    least, most, first, last, n = copies.agg(F.min("level"), F.max("level"), F.min("hour"), F.max("hour"), F.count(F.lit(1))).first()
+    root = f"{shared_dir(spark)}/clicks-{uuid.uuid4().hex}"
+    numbers: list[int] = []
+    if n:
+        batch = F.floor((F.col("level") - least) * batches / (most - least + 1)).cast("int")
+        copies.select("key", "hour", "digest", batch.alias("batch")).write.partitionBy("batch").parquet(f"{root}/copies")
+        numbers = sorted(r[0] for r in spark.read.parquet(f"{root}/copies").select("batch").distinct().collect())
+    folders = [(k, f"{root}/copies/batch={k}") for k in numbers]
+    out = click_dedup.deduplicated(spark, folders, root, last_hour=last or 0, last_batch=batches - 1, buckets=max(1, n // (batches * rows_a_group)), origin=first or 0)
+    return out.select(F.col("key").alias("click_id"), "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", F.lower(F.hex("digest")).alias("hash"))
+
+
+def planted_words(doc_id: Column, text: Column) -> Column:
+    """The text; of an id whose crc32 ends in 0 the words from one place on repeat with one period."""
+    h = id_crc32(doc_id)
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        """As a function, so that the words are split once and not for each place."""
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+
+    made = F.get(F.transform(F.array(words_of(text)), lambda w: F.when(F.size(w) > 0, F.array_join(repeated(w), " ")).otherwise("")), F.lit(0))
+    return F.when(h % 10 == 0, made).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    d = periodic_runs.collapse(docs.select("doc_id", planted_words(F.col("doc_id"), F.col("text")).alias("text")))
+    better = lambda a, x: a.isNull() | (x["length"] * a["period"] > a["length"] * x["period"])
+    kind = d.schema["runs"].dataType.elementType.simpleString()
+    most = F.aggregate("runs", F.lit(None).cast(kind), lambda a, x: F.when(better(a, x), x).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    d = d.select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("most"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    best = [F.col(f"most.{c}").alias(c) for c in ("start", "length", "period")]
+    return d.select("doc_id", "n_runs", *best, F.floor(1000 * F.col("most.length") / F.col("most.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(read_table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality_rules, op4_jaccard_join, op5_lm_scoring, op6_token_counts, op7_chat_format, op8_url_filters, op9_decontaminate, op10_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_quality_rules, op4_jaccard_join, op5_lm_scoring, op6_token_counts, op7_chat_format, op8_url_filters, op9_decontaminate, op10_sharding, op11_click_dedup, op12_periodic_runs, op13_token_files)}
 
 
 OP4_SQL = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
