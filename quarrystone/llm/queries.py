@@ -95,7 +95,7 @@ def click_copies(clicks: DataFrame) -> DataFrame:
     return d.select(F.col("click_id").cast("long").alias("key"), "hour", (F.col("hour") + F.floor(F.col("c") / 10) % 200).alias("level"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
 
 
-def op11_click_dedup(spark: SparkSession, sf_dir: str, batches: int = 12, rows_a_group: int = 1000) -> DataFrame:
+def op11_click_dedup(spark: SparkSession, sf_dir: str, batches: int = 12, rows_a_group: int = 2000) -> DataFrame:
     copies = click_copies(read_table(spark, sf_dir, "clicks"))
     least, most, first, last, n = copies.agg(F.min("level"), F.max("level"), F.min("hour"), F.max("hour"), F.count(F.lit(1))).first()
     root = f"{shared_dir(spark)}/clicks-{uuid.uuid4().hex}"
