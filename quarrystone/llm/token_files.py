@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,7 +52,14 @@ LENGTH = 2048
 #: Sequences of a record batch.
 ROWS = 256
 #: Pieces whose ids are kept, at most, and how long they may be.
-KEPT, SHORT = 400_000, 48
+KEPT, SHORT = 700_000, 48
+#: Letters in all versions of Unicode: a word of them is one unit of the vocabulary's merges.
+WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Marks that are a unit of their own after letters; not the apostrophe, which may join either.
+MARKS = ".,;:!?*$#%&|<>()[]{}\"/\\+-=_~^@`"
+#: How byte-level vocabularies write bytes: what prints stands for itself, the others follow from 256 on.
+_PRINTS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 #: What may be white space in some version of Unicode, control characters included.
 MAYBE_BLANK = "\\x00-\\x20\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u206f\\u3000\\ufeff"
 CUT = re.compile(f"(?<=[^{MAYBE_BLANK}])(?=[ \\n][^{MAYBE_BLANK}])")
@@ -64,15 +72,24 @@ class Uncut(Exception):
 
 
 class Pieces(dict):
-    """Ids of pieces, as little-endian unsigned 32-bit numbers, by what stands between two cuts."""
+    """Ids of pieces, as little-endian unsigned 32-bit numbers, by what stands between two cuts.
 
-    def __init__(self, encode, lead: str):
-        self.encode, self.lead = encode, lead
+    The library's model takes words straight; all else goes the whole way through the library."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        self.encoder, self.lead = encoder, lead
 
     def __missing__(self, piece: str) -> bytes:
-        if not SOLID.fullmatch(piece):
+        if WORD.fullmatch(piece):
+            ids = self.encoder.by_model(self.lead + piece)
+        elif (word := piece.rstrip(MARKS)) != piece and WORD.fullmatch(word):
+            ids = self[word] + self.encoder.piece(piece[len(word) :])
+            if len(piece) > 9:  # the word is kept, and most such pairs come once
+                return ids
+        elif SOLID.fullmatch(piece):
+            ids = self.encoder.by_library(self.lead + piece)
+        else:
             raise Uncut
-        ids = self.encode(self.lead + piece)
         if len(piece) <= SHORT:
             if len(self) >= KEPT:
                 self.clear()
@@ -86,22 +103,25 @@ class Encoder:
     def __init__(self, vocabulary: str):
         self.library = Tokenizer.from_str(vocabulary)
         self.library.encode_special_tokens = True
-        self.first, self.after = Pieces(self.by_library, ""), Pieces(self.by_library, " ")
+        self.model = self.library.model
+        self.first, self.after, self.rest = Pieces(self, ""), Pieces(self, " "), {}
         self.end_of_line = self.by_library("\n")
-        self.rest: dict[str, bytes] = {}
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def by_model(self, unit: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(BYTES))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         try:
-            lines = []
+            first, after, lines = self.first, self.after, []
             for line in text.split("\n"):
                 head, *others = line.split(" ")
-                after = self.after
-                lines.append(self.first[head] + b"".join([after[p] for p in others]))
+                lines.append(first[head] + b"".join([after[p] for p in others]))
             return self.end_of_line.join(lines)
         except Uncut:
             return b"".join(map(self.piece, CUT.split(text)))
