@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quarrystone import config
 from quarrystone.functions.text import era_of
+from quarrystone.operators import quantiles
+from quarrystone.sources.shared import stored
 
 #: Least and most share of an era in percent.
 TARGETS = {"early_2017_2020": (20, 30), "middle_2021_2023": (35, 45), "recent_2024_plus": (25, 35)}
@@ -46,16 +48,18 @@ def health(papers: DataFrame) -> DataFrame:
 
 
 def latency(d: DataFrame, value: str, *by: str) -> DataFrame:
-    """count, avg, p50, p95, p99 (interpolated) and max."""
-    p = lambda q: F.round(F.percentile(value, F.lit(q)), 1)
-    return d.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 1).alias("avg_ms"), p(0.5).alias("p50_ms"), p(0.95).alias("p95_ms"), p(0.99).alias("p99_ms"), F.round(F.max(value), 1).alias("max_ms"))
+    """count, avg, p50, p95, p99 (interpolated) and max; no group is gathered in one task."""
+    a = d.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 1).alias("avg_ms"), F.round(F.max(value), 1).alias("max_ms"))
+    q = quantiles.interpolated(d, value, list(by), {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    q = q.select(*[F.col(c).alias(f"__{c}") for c in by], *[F.round(c, 1).alias(c) for c in ("p50_ms", "p95_ms", "p99_ms")])
+    same = reduce(lambda x, y: x & y, [a[c].eqNullSafe(q[f"__{c}"]) for c in by], F.lit(True))
+    return a.join(q, same, "left").select(*by, "n", "avg_ms", "p50_ms", "p95_ms", "p99_ms", "max_ms")
 
 
 def p95_by_index(d: DataFrame, value: str, *by: str) -> DataFrame:
-    """The value at place int(0.95 n) in order, by ranks and so without gathering a group."""
-    w = Window.partitionBy(*by)
-    r = d.where(F.col(value).isNotNull()).withColumn("__k", F.row_number().over(w.orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(w))
-    return r.where(F.col("__k") == F.least(F.floor(F.col("__n") * 0.95), F.col("__n") - 1) + 1).select(*by, F.round(value, 1).alias("p95_ms"))
+    """The value at place int(0.95 n) in order, without gathering a group."""
+    found = quantiles.placed(d, value, list(by), {"p95_ms": F.floor(F.col("n") * 0.95)})
+    return found.select(*by, F.round("p95_ms", 1).alias("p95_ms"))
 
 
 def cache_impact(d: DataFrame, value: str, hit: str, *by: str) -> DataFrame:
@@ -72,30 +76,78 @@ def gap_fill(gaps: DataFrame, candidates: DataFrame) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("needed")).select("era", "paper_id", "published", "rank")
 
 
-def quota(arrivals: DataFrame, shares: dict[str, float] = config.LAYER_SHARES, key: str = "paper_id", held: dict[str, int] | None = None) -> DataFrame:
+def _let_in(layers: list, count: dict, total: int, shares: dict[str, float]) -> tuple[list[int], list[int], int]:
+    """Takes a block of arrivals in order; ``count`` changes."""
+    taken, totals = [], []
+    for i, layer in enumerate(layers):
+        n = count.get(layer, 0)
+        if layer not in shares or n / max(total, 1) < shares[layer] or n % 3 == 0:
+            count[layer], total = n + 1, total + 1
+            taken.append(i)
+            totals.append(total)
+    return taken, totals, total
+
+
+#: Arrivals of a block; blocks are simulated at once.
+QUOTA_BLOCK = 200_000
+
+
+def quota(arrivals: DataFrame, shares: dict[str, float] = config.LAYER_SHARES, key: str = "paper_id", held: dict[str, int] | None = None, block: int = QUOTA_BLOCK) -> DataFrame:
     """(key, layer, total): arrivals that are let in, in order of the key, and how many papers
     there are then.  A layer whose share of the corpus has reached its quota is throttled: one
     of its papers comes in only while their number is a multiple of three.  The corpus holds
     ``held`` papers of each layer before.
 
-    Each decision depends on all before, so the sorted keys and layers, and nothing else,
-    stream through one task that holds counters only; the sort spills."""
-    before = dict(held or {})
-
-    def let_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total = dict(before), sum(before.values())
-        for batch in batches:
-            taken, totals = [], []
-            for i, layer in enumerate(batch.column("layer").to_pylist()):
-                n = count.get(layer, 0)
-                if layer not in shares or n / max(total, 1) < shares[layer] or n % 3 == 0:
-                    count[layer], total = n + 1, total + 1
-                    taken.append(i)
-                    totals.append(total)
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(taken, pa.int64())).columns, pa.array(totals, pa.int64())], [key, "layer", "total"])
-
-    kind = arrivals.schema[key].dataType.simpleString()
-    return arrivals.select(key, "layer").repartition(1).sortWithinPartitions(key).mapInArrow(let_in, f"{key} {kind}, layer string, total long")
+    Each decision depends on all before it through a few counters alone.  So arrivals are
+    dealt in order into blocks, all blocks run at once from guessed counters, and those run
+    again whose guess isn't what the block before ended with.  Runs that start from different
+    counters meet once the quota binds, so a few rounds settle all; each settles one block at
+    least.  What comes to the driver is a handful of counters a block.  Ties of the key are
+    dealt by layer; unthrottled layers are counted as one."""
+    first = {k: n for k, n in (held or {}).items()}
+    spark, kind = arrivals.sparkSession, arrivals.schema[key].dataType.simpleString()
+    n = arrivals.count()
+    if not n:
+        return spark.createDataFrame([], f"`{key}` {kind}, layer string, total long")
+    d = arrivals.select(key, F.col("layer").cast("string").alias("layer"), F.monotonically_increasing_id().alias("__row"))
+    d = d.repartitionByRange(-(-n // block), F.asc(key), F.asc("layer"), F.asc("__row"))
+    d = stored(d.sortWithinPartitions(key, "layer", "__row").withColumns({"block": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).drop("__row"), "arrivals")
+
+    def counters(count: dict, total: int) -> tuple[int, ...]:
+        return (*(count.get(x, 0) for x in shares), total)
+
+    def ends(starts: dict[int, tuple[int, ...]]):
+        def run(k: tuple, t: pa.Table) -> pa.Table:
+            start = starts[k[0].as_py()]
+            count = dict(zip(shares, start[:-1], strict=True))
+            _, _, total = _let_in(t.sort_by("place").column("layer").to_pylist(), count, start[-1], shares)
+            return pa.table({"block": pa.array([k[0].as_py()], pa.int32()), "ends": pa.array([counters(count, total)], pa.list_(pa.int64()))})
+
+        return run
+
+    blocks = sorted(r[0] for r in d.select("block").distinct().collect())
+    start = counters(first, sum(first.values()))
+    guesses, done = dict.fromkeys(blocks, start), {}
+    todo = blocks
+    while todo:
+        asked = d.where(F.col("block").isin(todo)).select("block", "layer", "place")
+        done |= {r["block"]: (guesses[r["block"]], tuple(r["ends"])) for r in asked.groupBy("block").applyInArrow(ends({b: guesses[b] for b in todo}), "block int, ends array<long>").collect()}
+        now, todo = start, []
+        for b in blocks:
+            was, end = done[b]
+            if was != now:
+                guesses[b] = now
+                todo.append(b)
+            # The block is taken to add as much as it did from the guess.
+            now = tuple(x + e - w for x, e, w in zip(now, end, was, strict=True))
+    last = {b: done[b][0] for b in blocks}
+
+    def let_in(k: tuple, t: pa.Table) -> pa.Table:
+        t, at = t.sort_by("place"), last[k[0].as_py()]
+        taken, totals, _ = _let_in(t.column("layer").to_pylist(), dict(zip(shares, at[:-1], strict=True)), at[-1], shares)
+        return t.select([key, "layer"]).take(pa.array(taken, pa.int64())).append_column("total", pa.array(totals, pa.int64()))
+
+    return d.groupBy("block").applyInArrow(let_in, f"`{key}` {kind}, layer string, total long")
 
 
 def result_analytics(d: DataFrame, most: int = 5) -> DataFrame:

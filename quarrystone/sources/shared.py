@@ -41,4 +41,14 @@ def stored(d: DataFrame, name: str) -> DataFrame:
     """Written and read again: what follows doesn't compute it anew, nor when executors are lost."""
     path = f"{shared_dir(d.sparkSession)}/{name}-{uuid.uuid4().hex}"
     d.write.parquet(path)
-    return d.sparkSession.read.schema(d.schema).parquet(path)
+    out = d.sparkSession.read.schema(d.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of frames made by ``stored`` that nothing reads any more."""
+    for d in frames:
+        if at := getattr(d, "_stored_at", None):
+            path = d.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(d.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
