@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import lexical_tokens
-from quarrystone.sources.shared import is_there, shared_dir, stored, version_of
+from quarrystone.sources.shared import dropped, is_there, renamed, shared_dir, stored, version_of
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -27,24 +28,31 @@ class Index:
         return self.docs.count() == self.stats.first()["n"]
 
 
-def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """Texts are tokenized once; tokens and postings are stored, as all else is made of them."""
+def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str | None = None) -> Index:
+    """Tokenizes texts once and writes each table once, into its final folder."""
+    spark = docs.sparkSession
+    root = root or f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"
     tokens = docs.select(F.col(doc_id).alias("doc_id"), lexical_tokens(F.col(text)).alias("tokens"))
     tokens = stored(tokens, "tokens")
-    postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    postings = stored(postings, "postings")
-    lengths = tokens.select("doc_id", F.size("tokens").cast("long").alias("len"))
+
+    def kept(d: DataFrame, name: str) -> DataFrame:
+        d.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.schema(d.schema).parquet(f"{root}/{name}")
+
+    lengths = kept(tokens.select("doc_id", F.size("tokens").cast("long").alias("len")), "docs")
+    postings = kept(tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    dropped(tokens)
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats), F.lit(True))
-    raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = stored(raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")), "terms")
-    return Index(postings, lengths, terms, stats)
+    terms = kept(weighted_terms(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats), "terms")
+    return Index(postings, lengths, terms, kept(stats, "stats"))
 
 
-def save(index: Index, path: str) -> None:
-    for name in ("postings", "docs", "terms", "stats"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+def weighted_terms(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) of (term, df): frequent terms get a share of the mean instead of a negative weight."""
+    raw = counts.join(F.broadcast(stats), F.lit(True))
+    raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.join(F.broadcast(mean), F.lit(True)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def load(spark, path: str) -> Index:
@@ -57,11 +65,13 @@ def load(spark, path: str) -> Index:
 
 def of_snapshot(docs: DataFrame, path: str, **columns) -> Index:
     """The index of the table at a path, built once for each version of it and kept in the
-    shared folder; what is half written has no statistics yet and is built anew."""
+    shared folder; what is half written stands beside and is never read."""
     spark = docs.sparkSession
     root = f"{shared_dir(spark)}/lexical-{version_of(spark, path)}"
     if not is_there(spark, f"{root}/stats/_SUCCESS"):
-        save(build(docs, **columns), root)
+        by = f"{root}.{uuid.uuid4().hex}"
+        build(docs, root=by, **columns)
+        renamed(spark, by, root)  # of two sessions that build at once, the first stays
     return load(spark, root)
 
 
@@ -75,6 +85,11 @@ def scores(index: Index, terms: DataFrame, keys: list[str], digits: int = 4) ->
     """(keys, doc_id, score).  The questions' terms meet the postings first, so that only
     postings that count are weighed."""
     d = index.postings.join(terms, "term").join(index.terms.select("term", "idf"), "term").join(index.docs, "doc_id").join(F.broadcast(index.stats), F.lit(True))
+    return summed(d, keys, digits)
+
+
+def summed(d: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
+    """Scores of postings (keys, doc_id, qtf, idf, tf, len, avgdl)."""
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return d.groupBy(*keys, "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
 

@@ -57,7 +57,7 @@ def write_by_year(d: DataFrame, path: str, year: str = "year") -> None:
     d.write.mode("overwrite").partitionBy(year).parquet(path)
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Written beside and renamed over the old one in one step, so that a reader sees the old or the new."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     conf = spark._jsc.hadoopConfiguration()
@@ -82,7 +82,7 @@ def publish(tables: dict[str, DataFrame], root: str, **extra) -> str:
     for name, d in tables.items():
         d.write.parquet(f"{root}/{version}/{name}")
         rows[name] = spark.read.parquet(f"{root}/{version}/{name}").count()
-    _write_text(spark, f"{root}/manifest.json", json.dumps({"schema_version": SCHEMA_VERSION, "corpus_version": version, "rows": rows} | extra, sort_keys=True))
+    write_text(spark, f"{root}/manifest.json", json.dumps({"schema_version": SCHEMA_VERSION, "corpus_version": version, "rows": rows} | extra, sort_keys=True))
     return version
 
 

@@ -37,6 +37,17 @@ def is_there(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def renamed(spark: SparkSession, old: str, new: str) -> bool:
+    """Moves a folder to a name that isn't taken; if it is, what was to be moved goes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    a, b = hadoop.Path(old), hadoop.Path(new)
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(b) and fs.rename(a, b):
+        return True
+    fs.delete(a, True)
+    return False
+
+
 def stored(d: DataFrame, name: str) -> DataFrame:
     """Written and read again: what follows doesn't compute it anew, nor when executors are lost."""
     path = f"{shared_dir(d.sparkSession)}/{name}-{uuid.uuid4().hex}"
