@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.tokenizer import Vocabulary
+from quarrystone.llm.tokenizer import Vocabulary, encode
 
 OPEN, ROLE_END, CLOSE, LINE = "### ", ": ", "</turn>", "\n"
 _ESCAPE = {role: re.compile(r"(\\*)(" + "|".join(map(re.escape, marks)) + r"|\Z)") for role, marks in ((True, (OPEN, ROLE_END, CLOSE)), (False, (OPEN, CLOSE)))}
@@ -67,10 +67,10 @@ def parse(rendered: str) -> list[tuple[str, str]]:
     return out
 
 
-def assemble(roles: list[str], texts: list[str], encode, first_id: int, speaker: str = "assistant") -> tuple[list[np.ndarray], list[np.ndarray]]:
+def assemble(roles: list[str], texts: list[str], encoded, first_id: int, speaker: str = "assistant") -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Ids and loss mask of every turn; reserved ids are first_id (open), +1, +2 (close)."""
     ids, masks = [], []
-    for role, said, tokens in zip(roles, encode([escape(r, True) for r in roles]), encode([escape(t) for t in texts]), strict=True):
+    for role, said, tokens in zip(roles, encoded([escape(r, True) for r in roles]), encoded([escape(t) for t in texts]), strict=True):
         turn = np.concatenate([[first_id], said, [first_id + 1], tokens, [first_id + 2]]).astype(np.int32)
         mark = np.zeros(len(turn) + 1, np.int8)
         if role == speaker:
@@ -97,7 +97,7 @@ def format_turns(turns: DataFrame, vocabulary: Vocabulary, *, conv_id: str = "co
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
-                ids, masks = assemble(roles, texts, lambda x: encoder.encode_ordinary_batch(x, num_threads=1), vocabulary.size, speaker)
+                ids, masks = assemble(roles, texts, lambda x: [encode(encoder, t) for t in x], vocabulary.size, speaker)
                 chars = [len(render(r, t)) for r, t in zip(roles, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), _lists(ids, pa.int32()), _lists(masks, pa.int8()), pa.array([len(x) for x in ids], pa.int64()), pa.array(chars, pa.int64())], ["conv_id", "turn", "tokens", "loss_mask", "n_tokens", "n_chars"])
 

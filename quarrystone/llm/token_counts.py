@@ -7,6 +7,9 @@ across a bound goes by an explicit rule: ``start``, to the section of its first
 character; ``end``, of its last; ``most``, to the one with most of its characters,
 the earliest of equals.  So the sections' counts add up to the document's.
 
+Texts of any length are encoded whole (``tokenizer`` says what very long white space gives); an
+empty table gives no rows.
+
 Defined results: a null or empty text has no section and no token, and no row where
 rows are per section; a null field is empty; repeated rows are counted each for
 itself; only the named columns of the input are read.
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.tokenizer import Vocabulary
+from quarrystone.llm.tokenizer import Vocabulary, encode
 
 RULES = ("start", "end", "most")
 
@@ -74,7 +77,7 @@ def count_sections(docs: DataFrame, vocabulary: Vocabulary, *, doc_id: str = "do
                 for k, t in enumerate(batch.column("t").to_pylist()):
                     if not t:
                         continue
-                    ids = np.array(encoder.encode_ordinary(t), np.int64)
+                    ids = np.array(encode(encoder, t), np.int64)
                     first, last = char_spans(t.encode(), lengths[ids])
                     b = bounds(t)
                     n = len(b) - 1
@@ -108,7 +111,7 @@ def count_fields(rows: DataFrame, fields: list[str], vocabulary: Vocabulary, *,
                 b = np.concatenate([[0], np.cumsum(size)])
                 n = np.zeros(len(fields), np.int64)
                 if t:
-                    first, last = char_spans(t.encode(), lengths[np.array(encoder.encode_ordinary(t), np.int64)])
+                    first, last = char_spans(t.encode(), lengths[np.array(encode(encoder, t), np.int64)])
                     n += np.bincount(attribute(first, last, b, rule), minlength=len(fields))
                 out += [(i, f, int(c)) for f, c in zip(fields, n, strict=True)]
             columns = list(zip(*out, strict=True)) or [[], [], []]

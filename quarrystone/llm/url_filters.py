@@ -98,8 +98,12 @@ def _whole(ranks: DataFrame, seeds: DataFrame) -> DataFrame:
     return ranks.join(F.broadcast(sums), "kind").select("host", "kind", (F.col("score") * F.col("due") / F.col("got")).alias("score"))
 
 
-def judge_urls(pages: DataFrame, rules: Rules, *, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, **options) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust of every page."""
+def judge_urls(pages: DataFrame, rules: Rules, *, page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, floor: float = 0.5, **options) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust of every page.
+
+    A host without a rule is blocked where its distrust is at least ``threshold`` of its trust and
+    distrust, and at least ``floor`` times what a host would hold if all distrust were spread
+    evenly over the hosts with any: a faint trace from far along the links blocks nobody."""
     p = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     p = p.withColumns({"rule": rule, "by_rule": verdict})
@@ -113,6 +117,8 @@ def judge_urls(pages: DataFrame, rules: Rules, *, page_id: str = "page_id", url:
     slim = p.drop("html")
     ruled = slim.where(F.col("by_rule").isNotNull()).select("page_id", "host", "path", "rule", F.col("by_rule").alias("verdict"), F.lit(None).cast("double").alias("trust"), F.lit(None).cast("double").alias("distrust"))
     other = slim.where(F.col("by_rule").isNull()).join(hosts, F.col("host") == F.col("at"), "left")
-    bad = (F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
+    even = hosts.agg(F.try_divide(F.sum("distrust"), F.count_if(F.col("distrust") > 0)).alias("even"))
+    other = other.join(F.broadcast(even), F.lit(True), "left")
+    bad = (F.col("distrust") > 0) & (F.col("distrust") >= floor * F.col("even")) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust")))
     other = other.select("page_id", "host", "path", "rule", F.when(F.coalesce(bad, F.lit(False)), "block").otherwise("allow").alias("verdict"), "trust", "distrust")
     return ruled.unionByName(other)

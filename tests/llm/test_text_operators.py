@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrystone.llm import chat_format, quality_rules, queries, token_counts, url_filters
+from quarrystone.llm import chat_format, quality_rules, queries, token_counts, tokenizer, url_filters
 from quarrystone.llm.common import words_of
 from quarrystone.llm.tokenizer import VOCABULARY, Vocabulary, encoding_of
 
@@ -242,6 +242,31 @@ def test_distrust_blocks_hosts_that_link_to_blocked(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_a_faint_trace_of_distrust_blocks_nobody(spark):
+    """In a chain of twelve links towards a blocked host only the near ones are blocked."""
+    hosts = [*(f"h{k}.org" for k in range(12, 0, -1)), "bad.net"]
+    rows = [(k, f"http://{h}/es/", f'<a href="http://{to}/">') for k, (h, to) in enumerate(zip(hosts, [*hosts[1:], ""], strict=True))]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [x["verdict"] for x in url_filters.judge_urls(d, queries.URL_RULES).orderBy("page_id").collect()]
+    assert got[0] == "allow" and got[-3:] == ["block"] * 3 and got == sorted(got)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\u00a0", "x", "\t y"])
+def test_texts_of_any_length(spark, unit):
+    """Two million characters, white space in a row too; shorter texts keep their tokens."""
+    encoder, lengths = Vocabulary(spark).load()
+    text = "a" + unit * (2_000_000 // len(unit)) + "b"
+    ids = tokenizer.encode(encoder, text)
+    assert encoder.decode(ids) == text
+    for t in (" " * 65_536 + "b", "a  \n b" * 20_000, unit * 40_000 + " c"):
+        assert tokenizer.encode(encoder, t) == encoder.encode_ordinary(t)
+    d = spark.createDataFrame([(1, 0, "assistant", text), (1, 1, "user", None), (2, 0, "user", ""), (2, 0, "user", "")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.format_turns(d, Vocabulary(spark)), Vocabulary(spark)).collect()}
+    assert (got[1]["loss_chars"], got[2]["n_turns"]) == (len(text), 2)
+    n = token_counts.count_sections(d.select(F.col("conv_id").alias("doc_id"), "text"), Vocabulary(spark)).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    assert [(r["doc_id"], r["n"]) for r in n] == [(1, len(ids))]
+
+
 def test_verdicts_match_power_iteration(spark):
     """Every verdict and score from plain Python: links without a scheme, repeated pages, hosts without links."""
     r = random.Random(3)
@@ -281,7 +306,8 @@ def test_verdicts_match_power_iteration(spark):
     for i, u, _ in rows:
         host, _, rule = by_hand(u)
         t, b = score["trust"].get(host, 0), score["distrust"].get(host, 0)
-        assert got[i][0] == (verdict[rule] if rule else "block" if b > 0 and b >= 0.5 * (t + b) else "allow")
+        marked = [v for v in score["distrust"].values() if v > 0]
+        assert got[i][0] == (verdict[rule] if rule else "block" if b > 0 and b >= 0.5 * (t + b) and b >= 0.5 * sum(marked) / len(marked) else "allow")
         if not rule and host:
             assert (got[i][1] or 0) == pytest.approx(t, abs=1e-6)
     assert {v for v, _ in got.values()} == {"allow", "block"}
