@@ -67,7 +67,14 @@ def _case(col: str) -> str:
 
 
 HEADS = ("method", "3 Introduction", "Discussion", "Conclusion", "results", "related work", "iv. results", "evaluation", "Our method", "II Method", "4.2. Related_Work", "Supplementary material", "  ", "References", "ix approach", "mixed setup", "Preliminaries")
-HEADS_SQL = "h AS (SELECT k::BIGINT AS k, raw FROM (VALUES " + ", ".join(f"({k}, '{h}')" for k, h in enumerate(HEADS)) + ") AS t(k, raw))"
+HEADS_SQL = f"h AS (SELECT doc_id AS k, {list(HEADS)}[doc_id % {len(HEADS)} + 1] || CASE WHEN doc_id % 3 = 0 THEN ' ' || substring(text, 1, 30) ELSE '' END AS raw FROM documents)"
+
+
+def headings(spark, sf_dir):
+    """A heading for each document, for a third of them with the beginning of its text."""
+    head = F.get(F.array(*[F.lit(h) for h in HEADS]), (F.col("doc_id") % len(HEADS)).cast("int"))
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.substring("text", 1, 30))).otherwise("")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.concat(head, more).alias("raw"))
 
 
 @query(
@@ -77,13 +84,13 @@ ways AS (SELECT k, raw, trim(replace(regexp_replace(s, '^[ivxlcdm]+\s*\.?\s*', '
 SELECT k, raw, {_case('a')} AS compat, {_case('b')} AS label FROM ways""",
 )
 def section_normalize(spark, sf_dir):
-    d = spark.createDataFrame(list(enumerate(HEADS)), "k int, raw string")
+    d = headings(spark, sf_dir)
     return d.select("k", "raw", tx.normalize_section(F.col("raw"), strict_compat=True).alias("compat"), tx.normalize_section(F.col("raw")).alias("label"))
 
 
 @query("section_profile", f"WITH {HEADS_SQL} SELECT k, CASE WHEN regexp_matches(lower(raw), 'abstract|conclusion') THEN 'small' WHEN regexp_matches(lower(raw), 'method|experiment|result|evaluation|analysis') THEN 'medium' WHEN regexp_matches(lower(raw), 'related work|background|preliminaries|appendix') THEN 'large' ELSE 'default' END AS profile, CASE WHEN regexp_matches(lower(raw), 'result|experiment|evaluation|benchmark|ablation|finding|performance') THEN 'empirical evidence' WHEN regexp_matches(lower(raw), 'introduction|related work|background|motivation|problem') THEN 'theoretical background' WHEN regexp_matches(lower(raw), 'method|approach|architecture|framework|algorithm') THEN 'methodology' WHEN regexp_matches(lower(raw), 'discussion|limitation|future work|conclusion|interpretation') THEN 'theoretical interpretation' ELSE 'general context' END AS label FROM h")
 def section_profile(spark, sf_dir):
-    d = spark.createDataFrame(list(enumerate(HEADS)), "k int, raw string")
+    d = headings(spark, sf_dir)
     return d.select("k", tx.section_profile(F.col("raw")).alias("profile"), tx.heuristic_label(F.col("raw")).alias("label"))
 
 
@@ -99,13 +106,19 @@ IDS = ("arxiv:2301.12345", "2301.12345v2", "https://arxiv.org/pdf/2301.12345v2.p
 
 @query(
     "date_id_normalize",
-    "WITH v AS (SELECT k::BIGINT AS k, d, i FROM (VALUES " + ", ".join(f"({k}, '{d}', '{i}')" for k, (d, i) in enumerate(zip(DATES, (*IDS, ""), strict=True))) + r""") AS t(k, d, i)),
+    f"WITH {PAPERS_SQL}, v AS (SELECT doc_id AS k, CASE WHEN doc_id % 2 = 0 THEN {list(DATES)}[doc_id // 2 % {len(DATES)} + 1] ELSE (published::VARCHAR)[1:4 + doc_id % 7] END AS d, CASE WHEN doc_id % 2 = 0 THEN {[*IDS, '']}[doc_id // 2 % {len(IDS) + 1} + 1] ELSE 'ArXiv:' || printf('%04d.%05d', doc_id % 3000, doc_id) || ['', 'v2', '.pdf'][doc_id % 3 + 1] END AS i FROM papers),"
+    r"""
 s AS (SELECT k, trim(d) AS d, trim(regexp_replace(trim(regexp_replace(trim(replace(lower(trim(i)), 'arxiv:', '')), '\.pdf$', '')), '^https?://arxiv\.org/(pdf|abs)/', '')) AS i FROM v)
 SELECT k, CASE WHEN regexp_matches(d, '^\d{4}-\d{2}-\d{2}') THEN d[1:10] WHEN regexp_matches(d, '^\d{4}-\d{2}\b') THEN d[1:7] || '-01' WHEN regexp_matches(d, '^\d{4}\b') THEN d[1:4] || '-01-01' END AS published,
   CASE WHEN regexp_matches(i, '^\d{4}\.\d{4,5}(v\d+)?$') THEN regexp_extract(i, '^(\d{4}\.\d{4,5})', 1) ELSE i END AS paper_id, regexp_matches(i, '^\d{4}\.\d{4,5}(v\d+)?$') AS valid FROM s""",
 )
 def date_id_normalize(spark, sf_dir):
-    d = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(DATES, (*IDS, ""), strict=True))], "k int, d string, i string")
+    """Odd ids have dates cut at every length and ids of every form, even ones odd cases."""
+    one = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    k, even = F.col("doc_id"), F.col("doc_id") % 2 == 0
+    dates = F.when(even, one(DATES, F.floor(k / 2) % len(DATES))).otherwise(F.substring(F.col("published").cast("string"), F.lit(1), (4 + k % 7).cast("int")))
+    ids = F.when(even, one((*IDS, ""), F.floor(k / 2) % (len(IDS) + 1))).otherwise(F.concat(F.lit("ArXiv:"), F.format_string("%04d.%05d", k % 3000, k), one(("", "v2", ".pdf"), k % 3)))
+    d = papers(spark, sf_dir).select(k.alias("k"), dates.alias("d"), ids.alias("i"))
     i = tx.normalize_paper_id(F.col("i"))
     return d.select("k", tx.normalize_published(F.col("d")).alias("published"), i.alias("paper_id"), tx.is_paper_id(i).alias("valid"))
 

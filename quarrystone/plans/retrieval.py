@@ -361,23 +361,26 @@ LITERALS = (
 )
 
 
-def literal_questions(spark):
-    return spark.createDataFrame(list(enumerate(LITERALS)), "qid long, text string")
+MARKED = f"CASE WHEN {{id}} % 3 = 0 THEN {list(LITERALS)}[{{id}} // 3 % {len(LITERALS)} + 1] || ' ' || text ELSE text END"
+LITERAL_SQL = f"questions AS (SELECT 'benchmark' AS source, item_id AS id, NULL::BIGINT AS turn, {MARKED.format(id='item_id')} AS text FROM benchmark UNION ALL SELECT 'conversations', conv_id, turn, {MARKED.format(id='conv_id')} FROM conversations)"
 
 
-_VALUES = ", ".join(f"({k}, '{t}')" for k, t in enumerate(LITERALS))
-LITERAL_SQL = f"questions AS (SELECT qid::BIGINT AS qid, text FROM (VALUES {_VALUES}) AS t(qid, text))"
+def marked_questions(spark, sf_dir):
+    """All questions; a third of them with words before that a gate looks for."""
+    k = F.col("id")
+    word = F.get(F.array(*[F.lit(t) for t in LITERALS]), (F.floor(k / 3) % len(LITERALS)).cast("int"))
+    return all_questions(spark, sf_dir).withColumn("text", F.when(k % 3 == 0, F.concat(word, F.lit(" "), "text")).otherwise(F.col("text")))
 
 
 @query(
     "query_gate",
-    rf"""WITH {LITERAL_SQL}, i AS (SELECT qid, text, {intent_sql('text')} AS intent FROM questions),
-f AS (SELECT qid, intent, intent IN ('technical', 'comparative', 'evidence') AS formal, regexp_matches(lower(text), '\b(?:arxiv:)?\d{{4}}\.\d{{4,5}}\b') AS exact, len(regexp_extract_all(text, '\$[^$]{{2,}}\$')) >= 2 OR contains(text, '\begin{{') OR contains(text, '_{{}}') AS tex, regexp_matches(lower(text), '\b(?:eq\.?|equation)\s*\d+') AS num, len(regexp_extract_all(text, '"')) >= 2 AS quoted FROM i)
-SELECT qid, intent, exact AS restrict_decompose, formal OR exact OR tex OR num AS restrict_embedding_expansion, formal OR exact OR tex OR quoted AS restrict_llm_expansion FROM f""",
+    rf"""WITH {LITERAL_SQL}, i AS (SELECT source, id, turn, text, {intent_sql('text')} AS intent FROM questions),
+f AS (SELECT source, id, turn, intent, intent IN ('technical', 'comparative', 'evidence') AS formal, regexp_matches(lower(text), '\b(?:arxiv:)?\d{{4}}\.\d{{4,5}}\b') AS exact, len(regexp_extract_all(text, '\$[^$]{{2,}}\$')) >= 2 OR contains(text, '\begin{{') OR contains(text, '_{{}}') AS tex, regexp_matches(lower(text), '\b(?:eq\.?|equation)\s*\d+') AS num, len(regexp_extract_all(text, '"')) >= 2 AS quoted FROM i)
+SELECT source, id, turn, intent, exact AS restrict_decompose, formal OR exact OR tex OR num AS restrict_embedding_expansion, formal OR exact OR tex OR quoted AS restrict_llm_expansion FROM f""",
 )
 def query_gate(spark, sf_dir):
-    d = literal_questions(spark).withColumn("intent", intent_of(F.col("text")))
-    return d.select("qid", "intent", *[c.alias(n) for n, c in gate_of(F.col("text"), F.col("intent")).items()])
+    d = marked_questions(spark, sf_dir).withColumn("intent", intent_of(F.col("text")))
+    return d.select("source", "id", "turn", "intent", *[c.alias(n) for n, c in gate_of(F.col("text"), F.col("intent")).items()])
 
 
 def all_questions(spark, sf_dir):
