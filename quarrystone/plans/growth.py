@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarrystone.functions import prompts
 from quarrystone.operators import admission
 from quarrystone.plans.base import PAPERS_SQL, papers, query, table
+from quarrystone.sources import paged
+from quarrystone.sources.shared import shared_dir
 
 
 def found(spark, sf_dir):
@@ -107,3 +111,23 @@ def embedding_expansion(spark, sf_dir):
 def prompt_strings(spark, sf_dir):
     made = prompts.prompt(F.lit("q"), F.lit("discovery"), F.col("text"), prompts.source_list(F.array(F.lit("A"), F.lit(None).cast("string"))), F.lit(1))
     return table(spark, sf_dir, "benchmark").select("item_id", made.alias("prompt"))
+
+
+@query("crawl_pages", "SELECT doc_id AS paper_id, doc_id // 500 AS page, length(text)::BIGINT AS n_chars FROM documents WHERE doc_id // 500 % 7 <> 3 UNION ALL SELECT NULL, doc_id // 500, NULL FROM documents WHERE doc_id // 500 % 7 = 3 GROUP BY doc_id // 500")
+def crawl_pages(spark, sf_dir):
+    """Pages of five hundred records made of the documents, every seventh broken, crawled to the end:
+    what was taken, and a row for each page that failed."""
+    root = f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 500).alias("page"), F.struct("doc_id", "text").alias("record"))
+    made = d.groupBy("page").agg(F.to_json(F.collect_list("record")).alias("value"))
+    broken = F.when(F.col("page") % 7 == 3, F.substring("value", 1, 20)).otherwise(F.col("value"))
+    made.select(F.format_string("%09d", "page").alias("page"), broken.alias("value")).write.partitionBy("page").text(f"{root}/pages")
+
+    def taken(rows):
+        x = F.from_json("json", "doc_id long, text string")
+        return rows.select("page", x.alias("x")).select(F.col("x.doc_id").alias("paper_id"), number.alias("page"), F.length("x.text").cast("long").alias("n_chars"))
+
+    number = F.regexp_extract("page", r"page=(\d+)", 1).cast("long")
+    paged.crawl(spark, f"{root}/pages", f"{root}/out", f"{root}/state", taken, pages_per_batch=200)
+    bad = paged.failed(spark, f"{root}/out").select(F.lit(None).cast("long").alias("paper_id"), number.alias("page"), F.lit(None).cast("long").alias("n_chars"))
+    return spark.read.parquet(f"{root}/out/records").drop("batch").unionByName(bad)
