@@ -168,3 +168,30 @@ def diversified(pool: DataFrame, n: int, per_paper: int = 4) -> DataFrame:
     d = pool.withColumn("late", (F.row_number().over(w) > per_paper).cast("int"))
     w = Window.partitionBy("qid").orderBy("late", "rank")
     return d.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("late")
+
+
+def novel(pool: DataFrame, n: int, per_paper: int = 4, first: int = 6) -> DataFrame:
+    """(qid, doc_id, paper_id, section, position): a pool of up to n rows as it is; of a larger one
+    greedily, by rank, rows of sections not seen yet, and any for the first ``first``, at most
+    ``per_paper`` of a paper; then the best of the rest fill what is left.  Rows without a paper
+    aren't capped.  A fold over each question's pool, which the budgets bound, in the JVM."""
+    row = F.struct("rank", "doc_id", F.coalesce(F.col("paper_id").cast("string"), F.lit("")).alias("paper"), F.coalesce("section", F.lit("other")).alias("section"), "paper_id")
+    d = pool.groupBy("qid").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.array().cast("array<int>").alias("chosen"), F.array().cast("array<string>").alias("sections"), F.array().cast("array<string>").alias("papers"))
+
+    def step(fill: bool):
+        def take(a, i):
+            x = F.get(F.col("rows"), i)
+            free = (x["paper"] == "") | (F.size(F.filter(a["papers"], lambda p: p == x["paper"])) < per_paper)
+            fresh = ~F.array_contains(a["chosen"], i) if fill else ~F.array_contains(a["sections"], x["section"]) | (F.size(a["chosen"]) < min(n, first))
+            more = F.struct(F.array_append(a["chosen"], i).alias("chosen"), F.array_append(a["sections"], x["section"]).alias("sections"), F.array_append(a["papers"], x["paper"]).alias("papers"))
+            return F.when((F.size(a["chosen"]) < n) & free & fresh, more).otherwise(a)
+
+        return take
+
+    places = F.sequence(F.lit(0), F.size("rows") - 1)
+    d = d.withColumn("chosen", F.aggregate(places, start, step(False)))
+    d = d.withColumn("chosen", F.aggregate(places, F.col("chosen"), step(True), lambda a: a["chosen"]))
+    d = d.withColumn("chosen", F.when(F.size("rows") <= n, places).otherwise(F.col("chosen")))
+    d = d.select("qid", F.posexplode(F.transform("chosen", lambda i: F.get(F.col("rows"), i))).alias("position", "x"))
+    return d.select("qid", "x.doc_id", "x.paper_id", "x.section", (F.col("position") + 1).cast("long").alias("position"))

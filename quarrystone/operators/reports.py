@@ -76,27 +76,31 @@ def gap_fill(gaps: DataFrame, candidates: DataFrame) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("needed")).select("era", "paper_id", "published", "rank")
 
 
-def _let_in(layers: list, count: dict, total: int, shares: dict[str, float]) -> tuple[list[int], list[int], int]:
+def _let_in(layers: list, frees: list[bool], count: dict, total: int, shares: dict[str, float]) -> tuple[list[int], list[int], int]:
     """Takes a block of arrivals in order; ``count`` changes."""
     taken, totals = [], []
-    for i, layer in enumerate(layers):
+    for i, (layer, free) in enumerate(zip(layers, frees, strict=True)):
         n = count.get(layer, 0)
-        if layer not in shares or n / max(total, 1) < shares[layer] or n % 3 == 0:
+        if free or layer not in shares or n / max(total, 1) < shares[layer] or n % 3 == 0:
             count[layer], total = n + 1, total + 1
             taken.append(i)
             totals.append(total)
     return taken, totals, total
 
 
+def _columns(t: pa.Table) -> tuple[list, list]:
+    return t.column("layer").to_pylist(), t.column("free").to_pylist()
+
+
 #: Arrivals of a block; blocks are simulated at once.
 QUOTA_BLOCK = 200_000
 
 
-def quota(arrivals: DataFrame, shares: dict[str, float] = config.LAYER_SHARES, key: str = "paper_id", held: dict[str, int] | None = None, block: int = QUOTA_BLOCK) -> DataFrame:
+def quota(arrivals: DataFrame, shares: dict[str, float] = config.LAYER_SHARES, key: str = "paper_id", held: dict[str, int] | None = None, free: str | None = None, block: int = QUOTA_BLOCK) -> DataFrame:
     """(key, layer, total): arrivals that are let in, in order of the key, and how many papers
     there are then.  A layer whose share of the corpus has reached its quota is throttled: one
     of its papers comes in only while their number is a multiple of three.  The corpus holds
-    ``held`` papers of each layer before.
+    ``held`` papers of each layer before; where the column ``free`` is true, a paper always comes in.
 
     Each decision depends on all before it through a few counters alone.  So arrivals are
     dealt in order into blocks, all blocks run at once from guessed counters, and those run
@@ -109,7 +113,8 @@ def quota(arrivals: DataFrame, shares: dict[str, float] = config.LAYER_SHARES, k
     n = arrivals.count()
     if not n:
         return spark.createDataFrame([], f"`{key}` {kind}, layer string, total long")
-    d = arrivals.select(key, F.col("layer").cast("string").alias("layer"), F.monotonically_increasing_id().alias("__row"))
+    always = F.lit(False) if free is None else F.coalesce(F.col(free), F.lit(False))
+    d = arrivals.select(key, F.col("layer").cast("string").alias("layer"), always.alias("free"), F.monotonically_increasing_id().alias("__row"))
     d = d.repartitionByRange(-(-n // block), F.asc(key), F.asc("layer"), F.asc("__row"))
     d = stored(d.sortWithinPartitions(key, "layer", "__row").withColumns({"block": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).drop("__row"), "arrivals")
 
@@ -120,7 +125,7 @@ def quota(arrivals: DataFrame, shares: dict[str, float] = config.LAYER_SHARES, k
         def run(k: tuple, t: pa.Table) -> pa.Table:
             start = starts[k[0].as_py()]
             count = dict(zip(shares, start[:-1], strict=True))
-            _, _, total = _let_in(t.sort_by("place").column("layer").to_pylist(), count, start[-1], shares)
+            _, _, total = _let_in(*_columns(t.sort_by("place")), count, start[-1], shares)
             return pa.table({"block": pa.array([k[0].as_py()], pa.int32()), "ends": pa.array([counters(count, total)], pa.list_(pa.int64()))})
 
         return run
@@ -130,7 +135,7 @@ def quota(arrivals: DataFrame, shares: dict[str, float] = config.LAYER_SHARES, k
     guesses, done = dict.fromkeys(blocks, start), {}
     todo = blocks
     while todo:
-        asked = d.where(F.col("block").isin(todo)).select("block", "layer", "place")
+        asked = d.where(F.col("block").isin(todo)).select("block", "layer", "free", "place")
         done |= {r["block"]: (guesses[r["block"]], tuple(r["ends"])) for r in asked.groupBy("block").applyInArrow(ends({b: guesses[b] for b in todo}), "block int, ends array<long>").collect()}
         now, todo = start, []
         for b in blocks:
@@ -144,7 +149,7 @@ def quota(arrivals: DataFrame, shares: dict[str, float] = config.LAYER_SHARES, k
 
     def let_in(k: tuple, t: pa.Table) -> pa.Table:
         t, at = t.sort_by("place"), last[k[0].as_py()]
-        taken, totals, _ = _let_in(t.column("layer").to_pylist(), dict(zip(shares, at[:-1], strict=True)), at[-1], shares)
+        taken, totals, _ = _let_in(*_columns(t), dict(zip(shares, at[:-1], strict=True)), at[-1], shares)
         return t.select([key, "layer"]).take(pa.array(taken, pa.int64())).append_column("total", pa.array(totals, pa.int64()))
 
     return d.groupBy("block").applyInArrow(let_in, f"`{key}` {kind}, layer string, total long")

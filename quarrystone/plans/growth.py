@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarrystone.functions import prompts
-from quarrystone.operators import admission
+from quarrystone.operators import admission, frontier
 from quarrystone.plans.base import PAPERS_SQL, papers, query, table
 from quarrystone.sources import paged
 from quarrystone.sources.shared import shared_dir
@@ -131,3 +131,23 @@ def crawl_pages(spark, sf_dir):
     paged.crawl(spark, f"{root}/pages", f"{root}/out", f"{root}/state", taken, pages_per_batch=200)
     bad = paged.failed(spark, f"{root}/out").select(F.lit(None).cast("long").alias("paper_id"), number.alias("page"), F.lit(None).cast("long").alias("n_chars"))
     return spark.read.parquet(f"{root}/out/records").drop("batch").unionByName(bad)
+
+
+def citation_graph(spark, sf_dir):
+    """Papers, edges and links over documents: seeds every fiftieth; each document refers to one and
+    is cited by another, a sixth of the links without a title, two thirds off the subject."""
+    d = found(spark, sf_dir)
+    have = d.where("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("paper_id"), "title", "abstract", F.lit("core").alias("layer"), (F.col("doc_id") % 50 == 0).alias("is_seed"))
+    title = F.when(F.col("doc_id") % 6 == 1, " ").otherwise(F.col("title"))
+    link = lambda source, direction: d.select(source.cast("string").alias("source"), F.col("doc_id").cast("string").alias("paper_id"), F.lit(direction).alias("direction"), title.alias("title"), "abstract", "year", F.col("doc_id").alias("place"))
+    links = link(F.floor(F.col("doc_id") / 3) * 2, "reference").unionByName(link(F.col("doc_id") - F.col("doc_id") % 50, "citation"))
+    return have, spark.createDataFrame([], "source string, target string, direction string"), links
+
+
+@query("frontier_expansion")
+def frontier_expansion(spark, sf_dir):
+    """The corpus after two rounds, with how many edges lead to each paper; held against a twin in the tests."""
+    have, edges, links = citation_graph(spark, sf_dir)
+    got = frontier.expand(have, edges, links, f"{shared_dir(spark)}/frontier-{uuid.uuid4().hex}", cap=2 * have.count())
+    n = got["edges"].groupBy(F.col("target").alias("paper_id")).agg(F.count(F.lit(1)).alias("n_edges"))
+    return got["papers"].join(n, "paper_id", "left").select("paper_id", "layer", "is_seed", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))

@@ -280,6 +280,12 @@ def diversify(spark, sf_dir):
     return fusion.diversified(pool(spark, sf_dir), 12, per_paper=2).select("qid", "doc_id", "position")
 
 
+@query("diversify_sections")
+def diversify_sections(spark, sf_dir):
+    """Section novelty with backfill over every question's pool: greedy, held against a twin in the tests."""
+    return fusion.novel(pool(spark, sf_dir), 12, per_paper=2)
+
+
 @query(
     "result_analytics",
     f"""WITH {POOL}, named AS (SELECT qid, 'author' AS kind, paper_id AS name FROM pool UNION ALL SELECT qid, 'category', categories FROM pool),

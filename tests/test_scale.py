@@ -72,12 +72,16 @@ def test_quota_in_blocks(spark, seed):
     assert reports.quota(spark.createDataFrame([], "paper_id long, layer string")).count() == 0
 
 
-def test_quota_rounds_are_few(spark, monkeypatch):
-    """Most blocks settle at once: far fewer runs of a block than blocks times blocks."""
+def test_quota_rounds_are_few(spark):
+    """Twenty blocks settle in a few rounds, far fewer than blocks: few jobs in all."""
     rows = [(k, ["latest", "core", "latest", "foundation"][k % 4]) for k in range(4000)]
-    seen = []
-    real = reports._let_in
-    monkeypatch.setattr(reports, "_let_in", lambda *a: seen.append(1) or real(*a))
     d = spark.createDataFrame(rows, "paper_id long, layer string")
-    got = reports.quota(d, block=200)
+    sc = spark.sparkContext
+    sc.setJobGroup("quota", "rounds")
+    try:
+        got = reports.quota(d, block=200)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("quota"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 25
     assert sorted(map(tuple, got.collect())) == admitted_by_hand(rows, reports.config.LAYER_SHARES, {})
