@@ -65,3 +65,10 @@ def role_lines(d: DataFrame) -> DataFrame:
     """History as lines of ``User:`` and ``Assistant:``, by turn."""
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.col("content"))
     return d.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda s: s["line"]), "\n").alias("history"))
+
+
+def soft_deleted(conversations: DataFrame, asked: DataFrame, user: str, key: str = "conv_id") -> DataFrame:
+    """Marks the conversations asked for as deleted, if they are the user's."""
+    on = asked.select(key).distinct().withColumn("__on", F.lit(True))
+    gone = F.coalesce("deleted", F.lit(False)) | (F.coalesce("__on", F.lit(False)) & (F.col("user_id") == user))
+    return conversations.join(on, key, "left").withColumn("deleted", gone).drop("__on")

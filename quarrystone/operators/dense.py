@@ -36,8 +36,9 @@ def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return scores[order], keys[order]
 
 
-def top(vectors: DataFrame, questions: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", qid: str = "qid", question: str = "vector", cosine: bool = False, digits: int = 6) -> DataFrame:
-    """(qid, key, score, rank).  Filter ``vectors`` before: this ranks what it is given.
+def top(vectors: DataFrame, questions: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding", qid: str = "qid", question: str = "vector", cosine: bool = False, digits: int = 6, own: str | None = None) -> DataFrame:
+    """(qid, key, score, rank).  Filter ``vectors`` before: this ranks what it is given, but for
+    vectors whose column ``own`` is the question's id, which are left out before they are ranked.
 
     Each task keeps the k best of all its vectors for each question, so what is shuffled
     follows the tasks, not the vectors.  Questions are counted before any is fetched and go
@@ -48,13 +49,13 @@ def top(vectors: DataFrame, questions: DataFrame, k: int, *, key: str = "vec_id"
     part = None
     for one in range(passes):
         some = asked if passes == 1 else asked.where(F.pmod(F.xxhash64(qid), F.lit(passes)) == one)
-        more = _pass(vectors, some, k, key, vector, qid, cosine, digits)
+        more = _pass(vectors, some, k, key, vector, qid, cosine, digits, own)
         part = more if part is None else part.unionByName(more)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "k")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("k", key)
 
 
-def _pass(vectors: DataFrame, questions: DataFrame, k: int, key: str, vector: str, qid: str, cosine: bool, digits: int) -> DataFrame:
+def _pass(vectors: DataFrame, questions: DataFrame, k: int, key: str, vector: str, qid: str, cosine: bool, digits: int, own: str | None) -> DataFrame:
     rows = questions.toArrow()
     q = _matrix(rows.column(1).combine_chunks()) if rows.num_rows else np.zeros((0, 0))
     shared = vectors.sparkSession.sparkContext.broadcast((rows.column(0).to_numpy(), normalized(q) if cosine and q.size else q))
@@ -69,10 +70,12 @@ def _pass(vectors: DataFrame, questions: DataFrame, k: int, key: str, vector: st
                 x = _matrix(batch.column("v"))
                 x = normalized(x) if cosine else x
                 keys = batch.column("k").to_numpy()
+                of = batch.column("own").to_numpy() if own else None
                 for first in range(0, len(ids), ASKED):
                     s = np.round(x @ against[first : first + ASKED].T, digits)
                     for j in range(s.shape[1]):
-                        best = _best(s[:, j], keys, k)
+                        on = slice(None) if of is None else of != ids[first + j]
+                        best = _best(s[on, j], keys[on], k)
                         was = held[first + j]
                         held[first + j] = best if was is None else _best(np.concatenate([was[0], best[0]]), np.concatenate([was[1], best[1]]), k)
         for first in range(0, len(ids), ASKED):
@@ -81,7 +84,7 @@ def _pass(vectors: DataFrame, questions: DataFrame, k: int, key: str, vector: st
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([i for i, _, _ in some], [len(s) for _, s, _ in some])), pa.array(np.concatenate([y for _, _, y in some])), pa.array(np.concatenate([s for _, s, _ in some]))], ["qid", "k", "score"])
 
     kind = questions.schema[qid].dataType.simpleString()
-    return vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(blocks, f"qid {kind}, k {kinds[key]}, score double")
+    return vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), *([F.col(own).alias("own")] if own else [])).mapInArrow(blocks, f"qid {kind}, k {kinds[key]}, score double")
 
 
 def best_variant(found: DataFrame, key: str, most: int) -> DataFrame:

@@ -149,10 +149,8 @@ def similar_papers(spark, sf_dir):
     """From the hundred chunks nearest to a paper's mean vector, others' best by paper."""
     v = vectors(spark, sf_dir)
     q = dense.centroids(v, "label").select(F.col("label").alias("qid"), "vector")
-    own = v.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    found = dense.top(v, q, 100 + own).join(v.select("vec_id", F.col("label").alias("paper")), "vec_id").where("paper <> qid")
-    again = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
-    firsts = found.withColumn("again", again).where("again <= 100").groupBy("qid", "paper").agg(F.max("score").alias("score"))
+    found = dense.top(v, q, 100, own="label").join(v.select("vec_id", F.col("label").alias("paper")), "vec_id")
+    firsts = found.groupBy("qid", "paper").agg(F.max("score").alias("score"))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "paper")
     return firsts.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("qid", "paper", F.round("score", 4).alias("similarity"), "rank")
 

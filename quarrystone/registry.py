@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.plans import base, corpus, growth, indexes, retrieval  # noqa: F401  all but base register their queries
+from quarrystone.plans import base, checks, corpus, growth, indexes, retrieval  # noqa: F401  all but base register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
