@@ -12,7 +12,7 @@ from quarrystone.functions import text as tx
 from quarrystone.operators import chat, chunking, fusion, reports, tables
 from quarrystone.plans.base import ORACLES, PAPERS_SQL, papers, query, table, tokens_sql
 from quarrystone.sources.shared import shared_dir
-from quarrystone.streaming import ingest
+from quarrystone.streaming import ingest, jobs
 
 T = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 
@@ -461,3 +461,20 @@ def job_state(spark, sf_dir):
     """Jobs' states from their events: a sign-up stands for a failure, all else for progress."""
     e = events_stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "fail").otherwise("advance").alias("event"))
     return ingest.collected(lambda: ingest.job_states(e), "update", "job_id")
+
+
+@query(
+    "ingest_jobs",
+    """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'fail' WHEN 'purchase' THEN 'cancel' ELSE 'advance' END AS kind FROM events),
+a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM e WHERE kind = 'advance'),
+c AS (SELECT user_id, min(event_id) FILTER (kind = 'fail') AS f, min(event_id) FILTER (kind = 'cancel') AS c FROM e GROUP BY 1),
+x AS (SELECT c.user_id, any_value(f) AS f, min(a.event_id) FILTER (a.event_id > c.c) AS gone, min(a.event_id) FILTER (n = 4) AS ended, count(a.event_id) AS steps FROM c LEFT JOIN a ON a.user_id = c.user_id GROUP BY c.user_id)
+SELECT user_id AS job_id, CASE WHEN f < coalesce(least(gone, ended), 9e18) THEN 'failed' WHEN gone <= coalesce(ended, 9e18) THEN 'cancelled' WHEN ended IS NOT NULL THEN 'done' ELSE ['queued', 'downloading', 'chunking', 'embedding'][steps + 1] END AS state FROM x""",
+)
+def ingest_jobs(spark, sf_dir):
+    """Jobs of the event table: sign-ups fail one, purchases ask to cancel it, all else takes it on."""
+    kind = F.when(F.col("event_type") == "signup", "fail").when(F.col("event_type") == "purchase", "cancel").otherwise("advance")
+    e = events_stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"))
+    root = f"{shared_dir(spark)}/jobs-{uuid_of().hex}"
+    jobs.run(spark, e, root, patience=10**9)
+    return jobs.states(spark, root).select("job_id", "state")
