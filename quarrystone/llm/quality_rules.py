@@ -8,7 +8,8 @@ sequential covering from the statistics of labelled documents;
 Defined results: a null or empty text has no words and fails the base check;
 null labels are ignored; with no label of either class the list is empty and
 the base check alone decides; repeated rows are judged each for itself;
-further columns of the input are left alone.
+texts of any length count whole; a figure equal to a threshold passes an upward test and fails a
+downward one; an empty table gives no rows; further columns of the input are left alone.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ the softmax, scoring needs one number per bucket, which is what workers get.
 Defined results: a null or empty text has no words and scores the bias alone;
 null labels are ignored; with labels of one class only, every text scores the
 share of that class, bounded away from 0 and 1; rows are scored each for itself;
-only the named columns of the input are read.
+texts of any length count whole; a score of exactly 0.5 counts as label 1 in the query; an empty
+table gives no rows; only the named columns of the input are read.
 """
 
 from __future__ import annotations
