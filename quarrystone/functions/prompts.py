@@ -36,7 +36,7 @@ def numbered_lines(answer: Column, query: Column, most: int = 3) -> Column:
 
 def nearby_phrases(texts: Column, query: Column, most: int = 4, pool: int = 12, chars: int = 1200) -> Column:
     """Variants of a question with capitalised phrases of nearby chunks, in order of the alphabet."""
-    found = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(F.substring(t, 1, chars), F.lit(r"(\b[A-Z][a-z]+(?:\s+[a-z]{2,}){0,3}\b)"), F.lit(1))))
+    found = F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(F.substring(t, 1, chars), F.lit(r"(?U)(\b[A-Z][a-z]+(?:\s+[a-z]{2,}){0,3}\b)"), F.lit(1))))
     new = F.filter(found, lambda p: (F.length(p) > 5) & ~F.contains(F.lower(query), F.lower(p)))
     phrases = F.slice(F.array_sort(F.slice(F.array_distinct(new), 1, pool)), 1, most)
     return F.transform(phrases, lambda p: F.concat(query, F.lit(" "), p))

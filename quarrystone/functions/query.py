@@ -37,6 +37,12 @@ def gate_of(query: Column, intent: Column) -> dict[str, Column]:
     }
 
 
+def unlike(texts: Column, most: int) -> Column:
+    """The first ``most`` texts, no two alike but for case."""
+    first = F.filter(texts, lambda x, k: F.array_position(F.transform(texts, F.lower), F.lower(x)) == k + 1)
+    return F.slice(first, 1, most)
+
+
 def variants_of(query: Column, intent: Column, scoped: bool = False, most: int = 5) -> Column:
     """The question and what its intent makes of it, no two alike but for case."""
     q = F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " "))
@@ -50,5 +56,4 @@ def variants_of(query: Column, intent: Column, scoped: bool = False, most: int =
     versus = F.when((intent == config.COMPARATIVE) & F.contains(F.lower(q), F.lit(" vs ")), sides).otherwise(none)
     own = F.array(F.concat(q, F.lit(" in this paper"))) if scoped else none
     every = F.concat(F.array(q), by_intent, summary, versus, own)
-    first = F.filter(every, lambda x, k: F.array_position(F.transform(every, F.lower), F.lower(x)) == k + 1)
-    return F.when(q == "", none).otherwise(F.slice(first, 1, most))
+    return F.when(q == "", none).otherwise(unlike(every, most))

@@ -142,6 +142,13 @@ def lexical_document(title: Column, authors: Column, categories: Column, section
     return F.concat_ws("\n", tagged("title", title), tagged("title", title), tagged("authors", authors), tagged("categories", categories), F.concat(F.lit("section "), normalize_section(section)), tagged("body", body))
 
 
+def paper_text(title: Column, abstract: Column) -> Column:
+    """What stands for a whole paper where papers are searched."""
+    t, a = clean(title), F.substring(clean(abstract), 1, 10_000)
+    both = F.concat(F.lit("Title: "), t, F.lit("\n\nAbstract: "), a)
+    return F.substring(F.when((t != "") & (a != ""), both).otherwise(F.concat(t, a)), 1, 12_000)
+
+
 def source_text(title: Column, abstract: Column, full_text: Column, mode: str = "auto") -> Column:
     """What is chunked: the full text, else the abstract, without what follows the
     references, the acknowledgements, an appendix or supplements; the title before it."""

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,63 @@ def _pass(vectors: DataFrame, questions: DataFrame, k: int, key: str, vector: st
     return vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v"), *([F.col(own).alias("own")] if own else [])).mapInArrow(blocks, f"qid {kind}, k {kinds[key]}, score double")
 
 
+def top_within(vectors: DataFrame, questions: DataFrame, k: int, *, group: str, key: str = "vec_id", vector: str = "embedding", qid: str = "qid", question: str = "vector", digits: int = 6) -> DataFrame:
+    """(qid, group, key, score, rank): the k best of each question within each group it asks for.
+
+    ``questions`` has a row for each question and group; groups are longs.  As in ``top``,
+    a task keeps the k best of its own vectors for each of these rows, so a large group is
+    many tasks' work and none of its pairs with questions is ever a row."""
+    asked = questions.select(F.col(qid).alias("qid"), F.col(group).cast("long").alias("g"), F.col(question).alias("v")).where("v is not null and g is not null")
+    n, size = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    passes = max(1, -(-n * size // MOST_NUMBERS), -(-n * k // MOST_KEPT))
+    part = None
+    for one in range(passes):
+        some = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("qid", "g"), F.lit(passes)) == one)
+        more = _pass_within(vectors, some, k, group, key, vector, digits)
+        part = more if part is None else part.unionByName(more)
+    w = Window.partitionBy("qid", "g").orderBy(F.desc("score"), "k")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnsRenamed({"k": key, "g": group})
+
+
+def _pass_within(vectors: DataFrame, questions: DataFrame, k: int, group: str, key: str, vector: str, digits: int) -> DataFrame:
+    rows = questions.toArrow().sort_by("g")
+    q = _matrix(rows.column("v").combine_chunks()) if rows.num_rows else np.zeros((0, 0))
+    groups, first = np.unique(rows.column("g").to_numpy(), return_index=True)
+    shared = vectors.sparkSession.sparkContext.broadcast((rows.column("qid").to_numpy(), groups, np.append(first, rows.num_rows), q))
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, groups, first, against = shared.value
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(ids) else 0, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                g = batch.column("g").to_numpy()
+                of = np.minimum(np.searchsorted(groups, g), len(groups) - 1)
+                on = np.flatnonzero(groups[of] == g)
+                if not len(on):
+                    continue
+                on = on[np.argsort(of[on], kind="stable")]
+                x, keys = _matrix(batch.column("v"))[on], batch.column("k").to_numpy()[on]
+                here, start = np.unique(of[on], return_index=True)
+                for i, a, b in zip(here, start, np.append(start[1:], len(on)), strict=True):
+                    for j in range(first[i], first[i + 1]):
+                        best = _best(np.round(x[a:b] @ against[j], digits), keys[a:b], k)
+                        was = held.get(j)
+                        held[j] = best if was is None else _best(np.concatenate([was[0], best[0]]), np.concatenate([was[1], best[1]]), k)
+        rows = sorted(held)
+        of_row = np.searchsorted(first, rows, side="right") - 1
+        for at in range(0, len(rows), ASKED):
+            some = [held[j] for j in rows[at : at + ASKED]]
+            n = [len(s) for s, _ in some]
+            columns = [np.repeat(ids[rows[at : at + ASKED]], n), np.repeat(groups[of_row[at : at + ASKED]], n), np.concatenate([y for _, y in some]), np.concatenate([s for s, _ in some])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["qid", "g", "k", "score"])
+
+    d = vectors.where(F.col(vector).isNotNull() & F.col(group).isNotNull())
+    kind = questions.schema["qid"].dataType.simpleString()
+    return d.select(F.col(group).cast("long").alias("g"), F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(blocks, f"qid {kind}, g long, k {kinds[key]}, score double")
+
+
 def best_variant(found: DataFrame, key: str, most: int) -> DataFrame:
     """Over variants, each key's best score; the best ``most`` again."""
     best = found.groupBy("qid", key).agg(F.max("score").alias("score"))
@@ -95,12 +154,12 @@ def best_variant(found: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def centroids(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
-    """(group, vector): the mean of a group's vectors, of length one; sums are combined before the shuffle."""
-    each = vectors.select(group, F.posexplode(vector).alias("i", "x"))
-    mean = each.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    norm = mean.groupBy(group).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    made = mean.join(norm, group).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("i", (F.col("x") / F.col("norm")).alias("x")))).alias("v"))
-    return made.select(group, F.transform("v", lambda s: s["x"]).alias("vector"))
+    """(group, vector): the mean of a group's vectors, of length one (null vectors don't count); a
+    task hands on one vector for each of its groups."""
+    each = vectors.where(F.col(vector).isNotNull()).select(group, array_to_vector(F.col(vector).cast("array<double>")).alias("x"))
+    mean = each.groupBy(group).agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("x"))
+    norm = F.greatest(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
+    return mean.withColumn("norm", norm).select(group, F.transform("x", lambda x: x / F.col("norm")).alias("vector"))
 
 
 def quantized(vectors: DataFrame, vector: str = "embedding") -> DataFrame:

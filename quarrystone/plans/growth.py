@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarrystone.functions import prompts
-from quarrystone.operators import admission, frontier
+from quarrystone.operators import admission, dense, frontier
 from quarrystone.plans.base import PAPERS_SQL, papers, query, table
 from quarrystone.sources import paged
 from quarrystone.sources.shared import shared_dir
@@ -101,10 +101,15 @@ def search_strings(spark, sf_dir):
 
 @query("embedding_expansion")
 def embedding_expansion(spark, sf_dir):
-    """Variants with phrases of texts: sorted, so that they are the same each time."""
-    b = table(spark, sf_dir, "benchmark")
-    made = prompts.nearby_phrases(F.array("text"), F.lower(F.substring("text", 1, 20)))
-    return b.select("item_id", F.posexplode(made).alias("place", "variant"))
+    """Variants with phrases of the eight documents nearest to an item: sorted, so that they are the
+    same each time; held against a plain-Python twin in the tests."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text").where("text is not null")
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.join(b.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    near = dense.top(v, asked, 8).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 1200).alias("t")), "vec_id")
+    near = near.groupBy(F.col("qid").alias("item_id")).agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "t"))).alias("near"))
+    made = prompts.nearby_phrases(F.transform("near", lambda x: x["t"]), F.col("text"))
+    return b.join(near, "item_id").select("item_id", F.posexplode(made).alias("place", "variant"))
 
 
 @query("prompt_strings", "SELECT item_id, 'Answer from the passages alone, cite each claim, and say what they leave open.' || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || text || chr(10) || chr(10) || 'SOURCES:' || chr(10) || '[1] \"A\"' || chr(10) || '[2] \"Untitled\"' || chr(10) || chr(10) || 'QUESTION: q' || chr(10) AS prompt FROM benchmark")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import contextual_text, lexical_document, normalize_section, source_text
+from quarrystone.functions.text import contextual_text, lexical_document, normalize_section, paper_text, source_text
 from quarrystone.operators import chunking, lexical, tables
 from quarrystone.plans.retrieve import Corpus, encoded
 from quarrystone.sources import files
@@ -26,6 +26,16 @@ def chunks_of(papers: DataFrame, mode: str = "auto") -> DataFrame:
     return c.withColumn("lexical_text", lexical_document(F.col("title"), F.col("authors"), F.col("categories"), F.col("section"), F.col("chunk_text")))
 
 
+def parents_of(papers: DataFrame, chunks: DataFrame, encode: Callable[[DataFrame], DataFrame] = encoded) -> DataFrame:
+    """(paper_id, vector): papers by title and abstract; without one, the chunks of that section stand for it."""
+    pieces = chunks.where("section = 'abstract'").groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_text"))).alias("__pieces"))
+    p = papers.select("paper_id", "title", "abstract").join(pieces, "paper_id", "left")
+    written = F.trim(F.coalesce("abstract", F.lit("")))
+    body = F.when(written != "", F.col("abstract")).otherwise(F.array_join(F.transform("__pieces", lambda s: s["chunk_text"]), " "))
+    d = p.select("paper_id", paper_text(F.col("title"), body).alias("text")).where("text <> ''")
+    return encode(d).select("paper_id", "vector")
+
+
 def rebuild(papers: DataFrame, root: str, encode: Callable[[DataFrame], DataFrame] = encoded, mode: str = "auto") -> str:
     """Writes chunks first, then what is made of them, and publishes all at once."""
     spark = papers.sparkSession
@@ -34,7 +44,7 @@ def rebuild(papers: DataFrame, root: str, encode: Callable[[DataFrame], DataFram
     c = spark.read.parquet(work)
     index = lexical.build(c, "doc_id", "lexical_text")
     vectors = encode(c.select("doc_id", F.col("contextual_text").alias("text"))).select("doc_id", F.col("vector").alias("embedding"))
-    made = {"chunks": c, "vectors": vectors, "postings": index.postings, "docs": index.docs, "terms": index.terms, "stats": index.stats}
+    made = {"chunks": c, "vectors": vectors, "parents": parents_of(papers, c, encode), "postings": index.postings, "docs": index.docs, "terms": index.terms, "stats": index.stats}
     return files.publish(made, root, retrieval="bm25+dense")
 
 
@@ -42,7 +52,7 @@ def opened(spark: SparkSession, root: str, edges: DataFrame | None = None) -> Co
     """The published snapshot; all its tables are of one version."""
     of = lambda name: files.snapshot(spark, root, name)
     index = lexical.Index(of("postings"), of("docs"), of("terms"), of("stats"))
-    return Corpus(of("chunks").withColumnRenamed("chunk_text", "text"), of("vectors"), index, edges)
+    return Corpus(of("chunks").withColumnRenamed("chunk_text", "text"), of("vectors"), index, edges, of("parents"))
 
 
 def extended(old: DataFrame, new: DataFrame, root: str, **options) -> str:

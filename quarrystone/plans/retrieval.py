@@ -127,14 +127,7 @@ SELECT qid, label::BIGINT AS label, vec_id, score FROM kids WHERE nth <= 10""",
 def parent_child(spark, sf_dir):
     """Best parents, and of each its ten best chunks; scores multiply."""
     v, q = vectors(spark, sf_dir), asked(spark, sf_dir)
-    top = dense.top(dense.centroids(v, "label"), q, 5, key="label", vector="vector").select("qid", "label", F.col("score").alias("parent"))
-    kids = top.join(v, "label").join(F.broadcast(q), "qid")
-    dot = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    kids = kids.select("qid", "label", "vec_id", "parent", F.round(dot, 6).alias("own"))
-    nth = F.row_number().over(Window.partitionBy("qid", "label").orderBy(F.desc("own"), "vec_id"))
-    kids = kids.withColumn("nth", nth).where("nth <= 10")
-    least = lambda c: F.greatest(F.lit(1e-6), F.col(c))
-    return kids.select("qid", "label", "vec_id", F.round(least("parent") * least("own"), 6).alias("score"))
+    return whole.within_parents(dense.centroids(v, "label"), v, q, 5, parent="label", key="vec_id").withColumn("label", F.col("label").cast("long"))
 
 
 @query(
@@ -405,7 +398,8 @@ def corpus_of(spark, sf_dir) -> whole.Corpus:
     p = papers(spark, sf_dir)
     chunks = p.select("doc_id", F.col("authors").alias("paper_id"), "title", "authors", "categories", "published", "layer", F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), (F.col("doc_id") % len(SECTIONS) + 1).cast("int")).alias("section"), "text")
     vectors = whole.encoded(p.select("doc_id", "text"), name="embedding").select("doc_id", "embedding")
-    return whole.Corpus(chunks, vectors, index_of(spark, sf_dir))
+    parents = dense.centroids(vectors.join(chunks.select("doc_id", "paper_id"), "doc_id").where("paper_id is not null"), "paper_id")
+    return whole.Corpus(chunks, vectors, index_of(spark, sf_dir), parents=parents)
 
 
 @query("retrieve_full")
