@@ -11,6 +11,7 @@ from quarrystone.operators import context as packing
 from quarrystone.operators import dense, fusion, holding, lexical, reports
 from quarrystone.plans import retrieve as whole
 from quarrystone.plans.base import BM25_SQL, PAPERS_SQL, budget_sql, intent_sql, papers, query, scores_sql, table, tokens_sql
+from quarrystone.sources.shared import kept
 
 
 def questions(spark, sf_dir):
@@ -397,8 +398,10 @@ def query_decompose(spark, sf_dir):
 def corpus_of(spark, sf_dir) -> whole.Corpus:
     p = papers(spark, sf_dir)
     chunks = p.select("doc_id", F.col("authors").alias("paper_id"), "title", "authors", "categories", "published", "layer", F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), (F.col("doc_id") % len(SECTIONS) + 1).cast("int")).alias("section"), "text")
-    vectors = whole.encoded(p.select("doc_id", "text"), name="embedding").select("doc_id", "embedding")
-    parents = dense.centroids(vectors.join(chunks.select("doc_id", "paper_id"), "doc_id").where("paper_id is not null"), "paper_id")
+    source = f"{sf_dir}/documents.parquet"
+    vectors = kept(spark, source, "vectors", lambda: whole.encoded(p.select("doc_id", "text"), name="embedding").select("doc_id", "embedding"))
+    of_papers = vectors.join(chunks.select("doc_id", "paper_id"), "doc_id").where("paper_id is not null")
+    parents = kept(spark, source, "parents", lambda: dense.centroids(of_papers, "paper_id"))
     return whole.Corpus(chunks, vectors, index_of(spark, sf_dir), parents=parents)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,17 @@ def stored(d: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def kept(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives for the table at ``source``, written once for each version of it; a table
+    that is half written stands beside and is never read."""
+    root = f"{shared_dir(spark)}/{name}-{version_of(spark, source)}"
+    if not is_there(spark, f"{root}/_SUCCESS"):
+        by = f"{root}.{uuid.uuid4().hex}"
+        make().write.parquet(by)
+        renamed(spark, by, root)  # of two sessions that write at once, the first stays
+    return spark.read.parquet(root)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes the files of frames made by ``stored`` that nothing reads any more."""
     for d in frames:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quarrystone import config
 from quarrystone.functions.text import paper_text
 from quarrystone.operators import dense, lexical
-from quarrystone.plans import growth, rebuild, retrieve
+from quarrystone.plans import growth, rebuild, retrieval, retrieve
+from quarrystone.sources.shared import kept
 
 SF = "/root/testdata/sf0.001"
 WORDS = ("alpha", "beta", "gamma", "delta")
@@ -150,3 +151,21 @@ def test_nearby_phrases_against_a_twin(spark):
         want |= {(r["item_id"], k, f"{r['text']} {p}") for k, p in enumerate(sorted(list(dict.fromkeys(phrases))[:12])[:4])}
     got = {tuple(r) for r in growth.embedding_expansion(spark, SF).collect()}
     assert got == want and want
+
+
+def test_vectors_are_encoded_once_for_a_version(spark, tmp_path, monkeypatch):
+    at, made = str(tmp_path / "t"), []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(at).selectExpr("id + 1 as x")
+
+    spark.range(3).write.parquet(at)
+    of = lambda: sorted(r["x"] for r in kept(spark, at, "plus-one", make).collect())
+    assert of() == of() == [1, 2, 3] and len(made) == 1
+    spark.range(5).write.mode("overwrite").parquet(at)
+    assert of() == [1, 2, 3, 4, 5] and len(made) == 2
+    first = retrieval.corpus_of(spark, SF)
+    monkeypatch.setattr(retrieve, "encoded", None)
+    again = retrieval.corpus_of(spark, SF)
+    assert again.vectors.inputFiles() == first.vectors.inputFiles() and again.parents.count() == first.chunks.select("paper_id").distinct().count()
