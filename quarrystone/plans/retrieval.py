@@ -334,9 +334,19 @@ def eval_metrics(spark, sf_dir):
     return each_metric(spark, sf_dir)
 
 
-@query("eval_by_intent", f"{METRICS} SELECT intent, count(*) AS n, round(avg(recall_10), 4) AS recall_10, round(avg(ndcg_10), 4) AS ndcg_10, round(avg(mrr), 4) AS mrr FROM (SELECT each.*, CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS intent FROM each) GROUP BY ROLLUP (intent)")
+LITERALS = (
+    "What is attention?", "transformers vs RNNs for translation", "latest results 2025", "prove the theorem of eq. 3 in 2301.12345", 'find "self attention" and "residual stream"',
+    "empirical evidence for superposition", "sparse autoencoders", "summarize this paper", "$ab$ and $cd$ norms", "pros and cons of layer norm", "", "Is it so?",
+)
+
+
+MARKED = f"CASE WHEN {{id}} % 3 = 0 THEN {list(LITERALS)}[{{id}} // 3 % {len(LITERALS)} + 1] || ' ' || text ELSE text END"
+
+
+@query("eval_by_intent", f"{METRICS} SELECT intent, count(*) AS n, round(avg(recall_10), 4) AS recall_10, round(avg(ndcg_10), 4) AS ndcg_10, round(avg(mrr), 4) AS mrr FROM (SELECT each.*, {intent_sql('(' + MARKED.format(id='item_id') + ')')} AS intent FROM each JOIN benchmark ON item_id = qid) GROUP BY ROLLUP (intent)")
 def eval_by_intent(spark, sf_dir):
-    d = each_metric(spark, sf_dir).withColumn("intent", F.when(F.col("qid") % 2 == 0, "even").otherwise("odd"))
+    asked = marked_questions(spark, sf_dir).where("source = 'benchmark'").select(F.col("id").alias("qid"), intent_of(F.col("text")).alias("intent"))
+    d = each_metric(spark, sf_dir).join(asked, "qid")
     return reports.averages(d, "intent", ["recall_10", "ndcg_10", "mrr"])
 
 
@@ -353,13 +363,6 @@ def query_intent(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", intent_of(F.col("text")).alias("intent"))
 
 
-LITERALS = (
-    "What is attention?", "transformers vs RNNs for translation", "latest results 2025", "prove the theorem of eq. 3 in 2301.12345", 'find "self attention" and "residual stream"',
-    "empirical evidence for superposition", "sparse autoencoders", "summarize this paper", "$ab$ and $cd$ norms", "pros and cons of layer norm", "", "Is it so?",
-)
-
-
-MARKED = f"CASE WHEN {{id}} % 3 = 0 THEN {list(LITERALS)}[{{id}} // 3 % {len(LITERALS)} + 1] || ' ' || text ELSE text END"
 LITERAL_SQL = f"questions AS (SELECT 'benchmark' AS source, item_id AS id, NULL::BIGINT AS turn, {MARKED.format(id='item_id')} AS text FROM benchmark UNION ALL SELECT 'conversations', conv_id, turn, {MARKED.format(id='conv_id')} FROM conversations)"
 
 
