@@ -45,8 +45,9 @@ def normalize_paper_id(col: Column) -> Column:
     return F.when(bare != "", bare).otherwise(s)
 
 
-def is_paper_id(col: Column) -> Column:
-    return text(col).rlike(r"^\d{4}\.\d{4,5}$")
+def is_paper_id(col: Column, digits: str = "4,5") -> Column:
+    """``digits``: how many may follow the point (a range as in regular expressions)."""
+    return text(col).rlike(rf"^\d{{4}}\.\d{{{digits}}}$")
 
 
 def layer_of(year: Column, is_reference: Column | None = None) -> Column:

@@ -11,9 +11,9 @@ from quarrystone.operators import tables
 ACTIVE = ("queued", "downloading", "chunking", "embedding")
 
 
-def admitted(found: DataFrame, papers: DataFrame, least_abstract: int = 200) -> DataFrame:
-    """New papers of proper id that are relevant and have an abstract."""
-    d = found.where(is_paper_id(F.col("paper_id")) & is_relevant(F.col("title"), F.col("abstract")) & (F.length(F.coalesce("abstract", F.lit(""))) >= least_abstract))
+def admitted(found: DataFrame, papers: DataFrame, least_abstract: int = 200, digits: str = "4,5") -> DataFrame:
+    """New papers of proper id (``digits`` after the point) that are relevant and have an abstract."""
+    d = found.where(is_paper_id(F.col("paper_id"), digits) & is_relevant(F.col("title"), F.col("abstract")) & (F.length(F.coalesce("abstract", F.lit(""))) >= least_abstract))
     return d.dropDuplicates(["paper_id"]).join(papers.select("paper_id"), "paper_id", "left_anti")
 
 
