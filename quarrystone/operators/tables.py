@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone import config
+from quarrystone.functions.text import is_paper_id
 
 #: Rules of the papers table, by column: what a new row does to an old one.
 PAPER_RULES = {
@@ -72,10 +73,10 @@ def folded(d: DataFrame, key: str, order: str, nonblank: list[str], last: list[s
     return d.groupBy(key).agg(*[full(c).alias(c) for c in nonblank], *[at(c).alias(c) for c in last])
 
 
-def missing_text(papers: DataFrame, retry_failed: bool, limit: int | None = None) -> DataFrame:
-    """Papers of proper id without a text, latest first (undated ones before all), but for those
+def missing_text(papers: DataFrame, retry_failed: bool, limit: int | None = None, digits: str = "4,5") -> DataFrame:
+    """Papers of proper id (``digits`` after the point) without a text, latest first (undated ones before all), but for those
     whose download failed or was skipped or whose text couldn't be parsed."""
-    d = papers.where((F.trim(F.coalesce("full_text", F.lit(""))) == "") & F.col("paper_id").rlike(r"^\d{4}\.\d{4,5}$"))
+    d = papers.where((F.trim(F.coalesce("full_text", F.lit(""))) == "") & is_paper_id(F.col("paper_id"), digits))
     if not retry_failed:
         d = d.where(~F.coalesce("download_status", F.lit("")).isin("failed", "skipped") & (F.coalesce("parse_status", F.lit("")) != "failed"))
     d = d.orderBy(F.desc_nulls_first("published"), "paper_id")
