@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from quarrystone import config
+from quarrystone.functions.text import is_relevant
+from quarrystone.operators import frontier
 from quarrystone.plans import corpus, growth, retrieval  # noqa: F401 - registers the queries
 from quarrystone.plans.base import ORACLES, QUERIES
 
@@ -30,3 +34,23 @@ def both(spark, root, name):
 def test_ids_beyond_five_digits(spark, numbered, name):
     got, wanted = both(spark, numbered, name)
     assert got == wanted and any(len(r[0]) > 10 for r in got)
+
+
+def test_gates_read_texts_once(spark, tmp_path, monkeypatch):
+    """Two rounds ask for the gate of a link once, and no decision shuffles an abstract."""
+    calls = []
+    plain = frontier.gated
+    monkeypatch.setattr(frontier, "gated", lambda links: calls.append(1) or plain(links))
+    word = "transformer"
+    papers = spark.createDataFrame([(f"p{i}", "t", "a", "core", True) for i in range(1)], "paper_id string, title string, abstract string, layer string, is_seed boolean")
+    links = spark.createDataFrame([(f"p{i}", f"p{i + 1}", "reference", f"{word} {i}", f"abstract {i}", 2018, i) for i in range(9)] + [("p0", "px", "reference", "off", "off", 2018, 3)], "source string, paper_id string, direction string, title string, abstract string, year int, place long")
+    got = frontier.expand(papers, spark.createDataFrame([], "source string, target string, direction string"), links, f"{tmp_path}/x", rounds=4)
+    rows = {r["paper_id"]: r["abstract"] for r in got["papers"].collect()}
+    assert len(calls) == 1 and rows == {"p0": "a"} | {f"p{i}": f"abstract {i - 1}" for i in range(1, 5)}
+
+
+@pytest.mark.parametrize("text", ["Self-Attention MECHANISM", "a transformers b", "neural  circuits", "", None])
+def test_relevance_is_the_pattern_of_all_words(spark, text):
+    d = spark.createDataFrame([(text, "x"), ("x", text)], "t string, a string")
+    pattern = F.lower(F.concat_ws(" ", F.coalesce("t", F.lit("")), F.coalesce("a", F.lit("")))).rlike("|".join(config.RELEVANT))
+    assert all(r[0] == r[1] for r in d.select(is_relevant(F.col("t"), F.col("a")), pattern).collect())
