@@ -3,48 +3,94 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import lexical_tokens
-from quarrystone.sources.shared import dropped, is_there, renamed, shared_dir, stored, version_of
+from quarrystone.sources.shared import few, is_there, renamed, shared_dir, version_of
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Documents whose tokens are counted at once.
+COUNTED = 1024
+#: Terms of questions that are broadcast at once, and rows (score, doc_id) that a worker keeps for all
+#: questions of a pass; more take more passes.
+MOST_TERMS, MOST_KEPT = 2_000_000, 4_000_000
+#: Numbers that a worker sums at once.
+SUMMED = 4_000_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (doc_id, term, tf), docs (doc_id, len), terms (term, idf), stats (n, avgdl): frames."""
+    """postings (doc_id, term, tf), docs (doc_id, len), terms (term, idf), stats (n, avgdl), and words
+    (doc_id, len, terms, tfs), the postings by document: frames.  Without words (a doc_id came
+    twice) scores are joined."""
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     stats: DataFrame
+    words: DataFrame | None = None
 
     def consistent(self) -> bool:
         """As many documents as the statistics say; else the lexical arm must stay off."""
         return self.docs.count() == self.stats.first()["n"]
 
 
+def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, len, terms, tfs) of texts: a document's terms are counted where it is read."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, COUNTED):
+                batch = whole.slice(at, COUNTED)
+                tokens = batch.column("tokens")
+                length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+                coded = tokens.flatten().dictionary_encode()
+                n = max(1, len(coded.dictionary))
+                key, tf = np.unique(np.repeat(np.arange(len(length)), length) * n + coded.indices.to_numpy(), return_counts=True)
+                starts = pa.array(np.searchsorted(key, np.arange(len(length) + 1) * n).astype(np.int32))
+                terms = pa.ListArray.from_arrays(starts, coded.dictionary.take(pa.array(key % n)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(length), terms, pa.ListArray.from_arrays(starts, pa.array(tf))], ["doc_id", "len", "terms", "tfs"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), lexical_tokens(F.col(text)).alias("tokens")).mapInArrow(count, f"doc_id {kind}, len long, terms array<string>, tfs array<long>")
+
+
+def postings_of(words: DataFrame) -> DataFrame:
+    """(doc_id, term, tf), a row for each term of a document."""
+    return words.select("doc_id", F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("x")).select("doc_id", "x.term", "x.tf")
+
+
+def by_document(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """The words of postings; documents without any aren't there."""
+    d = postings.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("x"))
+    return d.join(docs, "doc_id").select("doc_id", "len", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))
+
+
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str | None = None) -> Index:
-    """Tokenizes texts once and writes each table once, into its final folder."""
+    """Tokenizes texts once and writes the words by document; only terms and their numbers of
+    documents are shuffled, added up before.  Rows that share a doc_id are one document's postings."""
     spark = docs.sparkSession
     root = root or f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}"
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), lexical_tokens(F.col(text)).alias("tokens"))
-    tokens = stored(tokens, "tokens")
 
     def kept(d: DataFrame, name: str) -> DataFrame:
         d.write.mode("overwrite").parquet(f"{root}/{name}")
         return spark.read.schema(d.schema).parquet(f"{root}/{name}")
 
-    lengths = kept(tokens.select("doc_id", F.size("tokens").cast("long").alias("len")), "docs")
-    postings = kept(tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    dropped(tokens)
+    words = kept(counted(docs, doc_id, text), "words")
+    lengths, postings = words.select("doc_id", "len"), postings_of(words)
+    if repeated := bool(lengths.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)):
+        postings = kept(postings.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), "postings")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    terms = kept(weighted_terms(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats), "terms")
-    return Index(postings, lengths, terms, kept(stats, "stats"))
+    each = postings if repeated else words.select(F.explode("terms").alias("term"))
+    terms = kept(weighted_terms(kept(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts"), stats), "terms")
+    return Index(postings, lengths, terms, kept(stats, "stats"), None if repeated else words)
 
 
 def weighted_terms(counts: DataFrame, stats: DataFrame) -> DataFrame:
@@ -57,7 +103,10 @@ def weighted_terms(counts: DataFrame, stats: DataFrame) -> DataFrame:
 
 def load(spark, path: str) -> Index:
     """Raises if the tables don't belong together."""
-    index = Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "docs", "terms", "stats")))
+    words, terms, stats = (spark.read.parquet(f"{path}/{name}") for name in ("words", "terms", "stats"))
+    repeated = is_there(spark, f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings") if repeated else postings_of(words)
+    index = Index(postings, words.select("doc_id", "len"), terms, stats, None if repeated else words)
     if not index.consistent():
         raise ValueError("the index has other documents than its statistics")
     return index
@@ -100,19 +149,101 @@ def ranked(scored: DataFrame, keys: list[str], most: int | Column, *ties: str) -
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def _pass(index: Index, weights: DataFrame, most: int, digits: int) -> DataFrame:
+    """(qid, doc_id, score): the ``most`` best of each question in each task."""
+    rows = weights.sort("qid", "v").toArrow().combine_chunks()
+    names = pa.array(pc.unique(rows.column("term")).to_pylist(), pa.string())
+    of_term = pc.index_in(rows.column("term"), value_set=names).to_numpy().astype(np.int64)
+    asked, v = rows.column("qid").to_numpy(), rows.column("v").to_numpy()
+    new = np.ones(len(v), bool)
+    new[1:] = (asked[1:] != asked[:-1]) | (v[1:] != v[:-1])
+    column = np.cumsum(new) - 1  # one for each variant; those of a question stand together
+    ids = asked[new]
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
+    order = np.argsort(of_term, kind="stable")
+    first = np.searchsorted(of_term[order], np.arange(len(names) + 1))
+    avgdl = index.stats.first()["avgdl"] or 1.0
+    shared = index.words.sparkSession.sparkContext.broadcast((names, first, column[order], rows.column("w").to_numpy()[order], ids[starts], starts, len(ids)))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, first, column, weight, ids, starts, wide = shared.value
+        if not len(ids):
+            return
+        size = max(1, min(COUNTED, SUMMED // max(wide, len(column))))
+        least, held, new, n = np.full(len(ids), np.finfo(float).tiny), None, [], 0
+
+        def best():
+            q, s, k = (np.concatenate(x) for x in zip(*([held] if held else []), *new, strict=True))
+            at = np.lexsort((k, -s, q))
+            q, s, k = q[at], s[at], k[at]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            full = place == most - 1
+            least[q[full]] = s[full]
+            on = place < most
+            return q[on], s[on], k[on]
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                terms, tf = batch.column("terms"), batch.column("tfs").flatten().to_numpy()
+                of = pc.fill_null(pc.index_in(terms.flatten(), value_set=names), -1).to_numpy()
+                on = np.flatnonzero(of >= 0)
+                doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(terms).to_numpy())[on]
+                of, tf = of[on], tf[on]
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch.column("len").to_numpy()[doc] / avgdl))
+                count = first[of + 1] - first[of]
+                to = np.repeat(first[of] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                s = np.bincount(np.repeat(doc * wide, count) + column[to], np.repeat(part, count) * weight[to], batch.num_rows * wide).reshape(-1, wide)
+                s = np.maximum.reduceat(s, starts, axis=1) if len(starts) < wide else s
+                s = np.floor(s * 10**digits + 0.5) / 10**digits
+                row, q = np.nonzero(s >= least)
+                new.append((q, s[row, q], batch.column("doc_id").to_numpy()[row]))
+                n += len(row)
+                if n > max(500_000, 2 * most * len(ids)):
+                    held, new, n = best(), [], 0
+        if new:
+            held = best()
+        if held:
+            for at in range(0, len(held[0]), 100_000):
+                q, s, k = (x[at : at + 100_000] for x in held)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(k), pa.array(s)], ["qid", "doc_id", "score"])
+
+    kinds = dict(weights.dtypes) | dict(index.words.dtypes)
+    return index.words.where("doc_id is not null").select("doc_id", "len", "terms", "tfs").mapInArrow(blocks, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
+
+
+def best(index: Index, terms: DataFrame, most: int, variant: str | None = None, digits: int = 4) -> DataFrame:
+    """(qid, doc_id, score, rank) of questions' terms (qid, variant, term, qtf); over variants of a
+    question, the best score counts.
+
+    Documents meet all questions where they are read: a task sums the weights of its documents' terms
+    and keeps the ``most`` best of each question, so what is shuffled follows tasks and questions,
+    and no pair of a question and a document is a row.  Questions' terms are counted before they are
+    fetched and go to the workers in as many passes as their bound asks for."""
+    if index.words is None:
+        found = scores(index, terms, ["qid", variant] if variant else ["qid"], digits).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+        return ranked(found.where("score > 0"), ["qid"], most)
+    terms = terms.where("qid is not null")
+    n, asked = terms.agg(F.count(F.lit(1)), F.count_distinct("qid")).first()
+    passes = max(1, -(-n // MOST_TERMS), -(-asked * most // MOST_KEPT))
+    weights = terms.select("qid", (F.col(variant) if variant else F.lit(0)).alias("v"), "term", "qtf")
+    part = None
+    for one in range(passes):
+        some = weights if passes == 1 else weights.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == one)
+        some = index.terms.select("term", "idf").join(F.broadcast(some), "term").select("qid", "v", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+        more = _pass(index, some, most, digits)
+        part = more if part is None else part.unionByName(more)
+    return ranked(part, ["qid"], most)
+
+
 def top(index: Index, questions: DataFrame, most: int, variant: str | None = None) -> DataFrame:
     """(qid, doc_id, score, rank); over variants of a question, the best score counts."""
-    if variant is None:
-        found = scores(index, question_terms(questions), ["qid"])
-    else:
-        found = scores(index, question_terms(questions, "qid", "text", variant), ["qid", variant])
-        found = found.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
-    return ranked(found.where("score > 0"), ["qid"], most)
+    return best(index, question_terms(questions, "qid", "text", *([variant] if variant else [])), most, variant)
 
 
 def top_then_filter(index: Index, questions: DataFrame, docs: DataFrame, keep: Column, k: int) -> DataFrame:
     """The best 5k first, filters then, 3k at last: filters don't reach below the ranking."""
-    found = top(index, questions, 5 * k).drop("rank").join(docs, "doc_id").where(keep)
+    found = few(top(index, questions, 5 * k).drop("rank"), "five").join(docs, "doc_id").where(keep)
     return ranked(found, ["qid"], 3 * k).select("qid", "doc_id", "score", "rank")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import lexical_tokens
-from quarrystone.operators.lexical import Index, weighted_terms
+from quarrystone.operators.lexical import Index, by_document, weighted_terms
 from quarrystone.sources.files import manifest, write_text
 from quarrystone.sources.shared import dropped, is_there, stored
 
@@ -56,7 +56,7 @@ def load(spark: SparkSession, root: str, segments: list[str] | None = None) -> I
     postings, docs = (_alive(_read(spark, root, segments, part), gone).drop("seq") for part in ("postings", "docs"))
     sums = _read(spark, root, segments, "sums").agg(F.sum("n").alias("n"), F.try_divide(F.sum("words"), F.sum("n")).alias("avgdl"))
     counts = _read(spark, root, segments, "terms").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    index = Index(postings, docs, weighted_terms(counts, sums), sums)
+    index = Index(postings, docs, weighted_terms(counts, sums), sums, by_document(postings, docs))
     if not index.consistent():
         raise ValueError("the index has other documents than its statistics")
     return index

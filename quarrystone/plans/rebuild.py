@@ -51,7 +51,7 @@ def rebuild(papers: DataFrame, root: str, encode: Callable[[DataFrame], DataFram
 def opened(spark: SparkSession, root: str, edges: DataFrame | None = None) -> Corpus:
     """The published snapshot; all its tables are of one version."""
     of = lambda name: files.snapshot(spark, root, name)
-    index = lexical.Index(of("postings"), of("docs"), of("terms"), of("stats"))
+    index = lexical.Index(of("postings"), of("docs"), of("terms"), of("stats"), lexical.by_document(of("postings"), of("docs")))
     return Corpus(of("chunks").withColumnRenamed("chunk_text", "text"), of("vectors"), index, edges, of("parents"))
 
 

@@ -11,7 +11,7 @@ from quarrystone.operators import context as packing
 from quarrystone.operators import dense, fusion, holding, lexical, reports
 from quarrystone.plans import retrieve as whole
 from quarrystone.plans.base import BM25_SQL, PAPERS_SQL, budget_sql, intent_sql, papers, query, scores_sql, table, tokens_sql
-from quarrystone.sources.shared import kept
+from quarrystone.sources.shared import few, kept
 
 
 def questions(spark, sf_dir):
@@ -178,7 +178,7 @@ def hybrid_budgeted(spark, sf_dir):
 def pool(spark, sf_dir, most=60):
     """Fused candidates with their papers (source stands for the paper, to have several chunks each)."""
     p = papers(spark, sf_dir).select("doc_id", F.col("authors").alias("paper_id"), "categories", "published", "layer", F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), (F.col("doc_id") % len(SECTIONS) + 1).cast("int")).alias("section"), "text")
-    return fusion.fused(*arms(spark, sf_dir), most=most).join(p, "doc_id")
+    return few(fusion.fused(*arms(spark, sf_dir), most=most), "fused").join(p, "doc_id")
 
 
 SECTIONS = ("abstract", "introduction", "background", "method", "experiments", "results", "related_work", "other")
@@ -353,7 +353,7 @@ def eval_by_intent(spark, sf_dir):
 @query("doc_recall", f"WITH {QUESTIONS}, {BM25_SQL}, scored AS {scores_sql('questions')}, {RELEVANT}, found AS {rank_sql('(SELECT * FROM scored WHERE score > 0)', '10')}, f AS (SELECT DISTINCT qid, source FROM found JOIN documents USING (doc_id)), r AS (SELECT DISTINCT qid, source FROM rel JOIN documents USING (doc_id)) SELECT r.qid, round(count(f.source) / count(*), 6) AS doc_recall FROM r LEFT JOIN f USING (qid, source) GROUP BY r.qid")
 def doc_recall(spark, sf_dir):
     of = table(spark, sf_dir, "documents").select("doc_id", "source")
-    f = lexical.top(index_of(spark, sf_dir), questions(spark, sf_dir), 10).join(of, "doc_id").select("qid", "source").distinct().withColumn("on", F.lit(1))
+    f = few(lexical.top(index_of(spark, sf_dir), questions(spark, sf_dir), 10), "found").join(of, "doc_id").select("qid", "source").distinct().withColumn("on", F.lit(1))
     r = relevant(spark, sf_dir).join(of, "doc_id").select("qid", "source").distinct()
     return r.join(f, ["qid", "source"], "left").groupBy("qid").agg(F.round(F.count("on") / F.count(F.lit(1)), 6).alias("doc_recall"))
 

@@ -8,6 +8,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that are broadcast; they are counted first.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +62,13 @@ def stored(d: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def few(d: DataFrame, name: str) -> DataFrame:
+    """Written and counted, and broadcast where they are few: a large table joined with a handful of
+    rows isn't shuffled for them, which Spark can't know beforehand."""
+    d = stored(d, name)
+    return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
+
+
 def kept(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` gives for the table at ``source``, written once for each version of it; a table
     that is half written stands beside and is never read."""

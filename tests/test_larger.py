@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrystone import config
 from quarrystone.functions.text import is_relevant
-from quarrystone.operators import frontier
+from quarrystone.operators import frontier, lexical
 from quarrystone.plans import corpus, growth, retrieval  # noqa: F401 - registers the queries
 from quarrystone.plans.base import ORACLES, QUERIES
 
@@ -54,3 +54,28 @@ def test_relevance_is_the_pattern_of_all_words(spark, text):
     d = spark.createDataFrame([(text, "x"), ("x", text)], "t string, a string")
     pattern = F.lower(F.concat_ws(" ", F.coalesce("t", F.lit("")), F.coalesce("a", F.lit("")))).rlike("|".join(config.RELEVANT))
     assert all(r[0] == r[1] for r in d.select(is_relevant(F.col("t"), F.col("a")), pattern).collect())
+
+
+@pytest.mark.parametrize("bounds", [{}, {"MOST_KEPT": 12, "SUMMED": 40, "COUNTED": 3}])
+def test_best_in_tasks_is_the_join(spark, monkeypatch, bounds):
+    """Copies that tie, variants, unknown words, terms in most documents, passes and small blocks."""
+    for k, v in bounds.items():
+        monkeypatch.setattr(lexical, k, v)
+    d = spark.createDataFrame([(i, f"the common w{i % 7} w{i % 11} {'the ' * (i % 4)}") for i in range(80)] + [(100, None), (101, "")], "doc_id long, text string").repartition(3)
+    index = lexical.build(d)
+    q = spark.createDataFrame([(i, v, f"the w{i} w{i + v} w{i} unknown") for i in range(9) for v in range(2)] + [(20, 0, "nothing here")], "qid long, v int, text string")
+    terms = lexical.question_terms(q, "qid", "text", "v")
+    joined = lexical.scores(index, terms, ["qid", "v"]).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
+    wanted = sorted(lexical.ranked(joined.where("score > 0"), ["qid"], 5).select("qid", "doc_id", "score", "rank").collect())
+    got = lexical.best(index, terms, 5, "v")
+    assert sorted(got.select("qid", "doc_id", "score", "rank").collect()) == wanted and len(wanted) >= 40
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # no pair of a question and a document is a row
+
+
+def test_repeated_ids_are_joined(spark):
+    d = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "b")], "doc_id long, text string")
+    index = lexical.build(d)
+    assert index.words is None and {(r["doc_id"], r["term"], r["tf"]) for r in index.postings.collect()} == {(1, "a", 2), (1, "b", 1), (1, "c", 1), (2, "b", 1)}
+    q = spark.createDataFrame([(0, "c")], "qid long, text string")
+    assert [r["doc_id"] for r in lexical.top(index, q, 3).collect()] == [1]
