@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone import config
+from quarrystone.sources.shared import few
 
 
 def by_intent(intent: Column, field: str) -> Column:
@@ -147,7 +148,7 @@ def mmr_order(relevance: np.ndarray, vectors: np.ndarray, k: int, trade: float)
 
 def mmr(pool: DataFrame, vectors: DataFrame, k: int, *, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """(qid, key, position).  A question's pool is at most four times k rows, so a group is small."""
-    d = pool.where(F.col("rank") <= 4 * k).join(vectors.select(F.col(key), F.col(vector).alias("v")), key).select("qid", F.col(key).alias("key"), "rank", "score", by_intent(F.col("intent"), "mmr").alias("trade"), "v")
+    d = few(pool.where(F.col("rank") <= 4 * k), "relevant").join(vectors.select(F.col(key), F.col(vector).alias("v")), key).select("qid", F.col(key).alias("key"), "rank", "score", by_intent(F.col("intent"), "mmr").alias("trade"), "v")
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -15,7 +15,7 @@ from quarrystone.functions import prompts
 from quarrystone.functions.query import gate_of, intent_of, is_summary, unlike, variants_of
 from quarrystone.functions.text import lexical_tokens
 from quarrystone.operators import dense, fusion, lexical
-from quarrystone.sources.shared import stored
+from quarrystone.sources.shared import few, stored
 
 #: Dimensions of the default encoding.
 DIMENSIONS = 64
@@ -111,8 +111,13 @@ def coverage(candidates: DataFrame, questions: DataFrame, corpus: Corpus) -> Dat
     terms that the chunk holds, in [0, 1]."""
     index = corpus.index
     terms = lexical.question_terms(questions).select("qid", "term").join(index.terms.select("term", F.greatest("idf", F.lit(0.0)).alias("w")), "term")
+    terms = stored(terms, "terms")
     whole = terms.groupBy("qid").agg(F.sum("w").alias("whole"))
-    held = candidates.select("qid", "doc_id").join(terms, "qid").join(index.postings.select("term", "doc_id"), ["term", "doc_id"])
+    if index.words is None:
+        held = candidates.select("qid", "doc_id").join(terms, "qid").join(index.postings.select("term", "doc_id"), ["term", "doc_id"])
+    else:
+        held = index.words.select("doc_id", "terms").join(few(candidates.select("qid", "doc_id").distinct(), "pairs"), "doc_id")
+        held = held.select("qid", "doc_id", F.explode("terms").alias("term")).join(F.broadcast(terms), ["qid", "term"])
     held = held.groupBy("qid", "doc_id").agg(F.sum("w").alias("held"))
     d = candidates.select("qid", "doc_id").join(held, ["qid", "doc_id"], "left").join(whole, "qid", "left")
     return d.select("qid", "doc_id", F.round(F.coalesce(F.when(F.col("whole") > 0, F.col("held") / F.col("whole")), F.lit(0.0)), 6).alias("rerank"))
@@ -146,7 +151,7 @@ def phrased(corpus: Corpus, understood: DataFrame, encode: Callable[[DataFrame],
     and gates allow them."""
     on = understood.where(F.col("intent").isin(*NEARBY_INTENTS) & ~F.col("restrict_embedding_expansion")).select("qid", "text")
     found = dense.top(corpus.vectors, encode(on).select("qid", "vector"), NEARBY, key="doc_id")
-    texts = found.join(corpus.chunks.select("doc_id", F.substring("text", 1, 1200).alias("t")), "doc_id")
+    texts = few(found, "near").join(corpus.chunks.select("doc_id", F.substring("text", 1, 1200).alias("t")), "doc_id")
     texts = texts.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "t"))).alias("near"))
     return on.join(texts, "qid").select("qid", prompts.nearby_phrases(F.transform("near", lambda x: x["t"]), F.col("text")).alias("nearby"))
 
@@ -214,9 +219,7 @@ def candidates(corpus: Corpus, questions: DataFrame, flags: Flags = Flags(), fil
         most = F.greatest(5 * fusion.by_intent(F.col("intent"), "k_dense"), F.lit(200))
         den = dense.best_variant(kids, "doc_id", 5 * max(most_dense, 40)).join(intents, "qid").where(F.col("rank") <= most).select("qid", "doc_id", "score", "rank")
     if flags.lexical:
-        scored = lexical.scores(corpus.index, lexical.question_terms(v, "qid", "text", "v"), ["qid", "v"]).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
-        scored = scored.where("score > 0").join(F.broadcast(intents), "qid")
-        five = lexical.ranked(scored, ["qid"], 5 * most_lexical)  # a constant first: each task then keeps no more
+        five = lexical.best(corpus.index, lexical.question_terms(v, "qid", "text", "v"), 5 * most_lexical, "v").join(F.broadcast(intents), "qid")
         five = five.where(F.col("rank") <= 5 * fusion.by_intent(F.col("intent"), "k_lexical"))
         if filters != Filters():
             five = five.join(corpus.chunks.where(filters.of()).select("doc_id"), "doc_id", "left_semi")
@@ -224,15 +227,18 @@ def candidates(corpus: Corpus, questions: DataFrame, flags: Flags = Flags(), fil
     return fusion.fused(den, lex, intents)
 
 
-def retrieve(corpus: Corpus, questions: DataFrame, *, as_of: str, top_n: int = 10, context: str | None = None, flags: Flags = Flags(), filters: Filters = Filters(), encode: Callable[[DataFrame], DataFrame] = encoded, scorer: Scorer = coverage, answers: DataFrame | None = None, auxiliary: DataFrame | None = None) -> DataFrame:
+def retrieve(corpus: Corpus, questions: DataFrame, *, as_of: str, top_n: int = 10, context: str | None = None, flags: Flags = Flags(), filters: Filters = Filters(), encode: Callable[[DataFrame], DataFrame] = encoded, scorer: Scorer = coverage, answers: DataFrame | None = None, auxiliary: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """qid, place, doc_id, paper_id, title, section, layer, score, intent of the passages: ``top_n``
     of a question, or with ``context`` (query or chat) as many as its intent takes, within that
-    or from that on.  Candidates that the chunks don't have stay, without a paper or a text."""
+    or from that on.  Candidates that the chunks don't have stay, without a paper or a text;
+    ``found`` are candidates made before, by the same corpus, questions and flags."""
     scoped = filters.paper_id is not None
     wanted = F.lit(top_n) if context is None else fusion.context_size(F.col("intent"), top_n, context == "chat")
     most = max(top_n, *(b.context for b in config.BUDGETS.values())) if context == "chat" else top_n
-    found = stored(candidates(corpus, questions, flags, filters, encode, answers, auxiliary), "candidates")
-    d = found.join(corpus.chunks, "doc_id", "left").fillna({"title": "", "section": "other", "layer": "core", "text": ""})
+    if found is None:
+        found = stored(candidates(corpus, questions, flags, filters, encode, answers, auxiliary), "candidates")
+    chunks = corpus.chunks.join(few(found.select("doc_id").distinct(), "asked"), "doc_id", "left_semi")
+    d = found.join(chunks, "doc_id", "left").fillna({"title": "", "section": "other", "layer": "core", "text": ""})
     if flags.boosts:
         if corpus.edges is not None and not scoped:
             d = fusion.boosted_citations(d, corpus.edges)
@@ -264,9 +270,15 @@ def retrieve(corpus: Corpus, questions: DataFrame, *, as_of: str, top_n: int = 1
 
 
 def ablation(corpus: Corpus, questions: DataFrame, names: list[str], **options) -> DataFrame:
-    """The passages of several runs, one below the other, with the run's name."""
-    out = None
+    """The passages of several runs, one below the other, with the run's name.  Runs whose flags for
+    candidates are the same share these."""
+    out, made = None, {}
+    given = {k: options[k] for k in ("filters", "encode", "answers", "auxiliary") if k in options}
     for name in names:
-        d = retrieve(corpus, questions, flags=ABLATIONS[name], **options).withColumn("variant", F.lit(name))
+        f = ABLATIONS[name]
+        arms = (f.dense, f.lexical, f.parents, f.expand, f.nearby)
+        if arms not in made:
+            made[arms] = stored(candidates(corpus, questions, f, **given), "candidates")
+        d = retrieve(corpus, questions, flags=f, found=made[arms], **options).withColumn("variant", F.lit(name))
         out = d if out is None else out.unionByName(d)
     return out
