@@ -62,9 +62,9 @@ def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), lexical_tokens(F.col(text)).alias("tokens")).mapInArrow(count, f"doc_id {kind}, len long, terms array<string>, tfs array<long>")
 
 
-def postings_of(words: DataFrame) -> DataFrame:
-    """(doc_id, term, tf), a row for each term of a document."""
-    return words.select("doc_id", F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("x")).select("doc_id", "x.term", "x.tf")
+def postings_of(words: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, more, term, tf), a row for each term of a document."""
+    return words.select("doc_id", *more, F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("x")).select("doc_id", *more, "x.term", "x.tf")
 
 
 def by_document(postings: DataFrame, docs: DataFrame) -> DataFrame:

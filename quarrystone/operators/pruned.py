@@ -5,8 +5,8 @@ when the index is built.  Postings are stored by term and falling impact and num
 each ``BLOCK`` numbers are a block with its largest and least impact: a term of any length is
 spread over blocks, which tasks share out among themselves.
 
-A question's threshold is a lower bound of its k-th best score, from the sums over the first
-blocks of each of its terms.  Its weakest terms, whose largest impacts together don't reach the
+A question's threshold is the k-th best whole score of those documents that give most in the
+first blocks of its terms.  Its weakest terms, whose largest impacts together don't reach the
 threshold, bring up no document of their own and aren't read.  Of the others a block is read only
 if its largest impact and the largest of all other terms together reach the threshold; a document
 found in the blocks read goes on only if what it has and what unread blocks could still give
@@ -41,7 +41,7 @@ class Blocks:
 def build(index: lexical.Index, root: str, block: int = BLOCK) -> Blocks:
     """Weighs every posting once and stores them in order; ranges of (term, impact) cut hot terms."""
     spark = index.postings.sparkSession
-    d = index.postings.join(index.terms.select("term", "idf"), "term").join(index.docs, "doc_id").join(F.broadcast(index.stats), F.lit(True))
+    d = lexical.postings_of(words_of(index), "len").join(index.terms.select("term", "idf"), "term").join(F.broadcast(index.stats), F.lit(True))
     impact = F.col("idf") * F.col("tf") * (lexical.K1 + 1) / (F.col("tf") + lexical.K1 * (1 - lexical.B + lexical.B * F.col("len") / F.col("avgdl")))
     d = d.select("term", "doc_id", impact.alias("impact"))
     order = [F.asc("term"), F.desc("impact"), F.asc("doc_id")]
@@ -61,24 +61,35 @@ def of_snapshot(index: lexical.Index, docs: DataFrame, path: str) -> Blocks:
     return Blocks(spark.read.parquet(f"{root}/blocks"), spark.read.parquet(f"{root}/headers"))
 
 
+def words_of(index: lexical.Index) -> DataFrame:
+    return lexical.by_document(index.postings, index.docs) if index.words is None else index.words
+
+
+def scored(index: lexical.Index, terms: DataFrame, pairs: DataFrame, digits: int = 4) -> DataFrame:
+    """(qid, doc_id, score): whole scores of few pairs (qid, doc_id); only their documents' words are spread."""
+    d = lexical.postings_of(words_of(index).join(pairs, "doc_id"), "len", "qid").join(terms, ["qid", "term"])
+    return lexical.summed(d.join(index.terms.select("term", "idf"), "term").join(F.broadcast(index.stats), F.lit(True)), ["qid"], digits)
+
+
 def _few(d: DataFrame) -> DataFrame:
     return F.broadcast(d) if d.count() <= BROADCAST_ROWS else d
 
 
-def plan(blocks: Blocks, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Stored (qid, term, qtf, block) to read, and (qid, term, qtf, left, floor, threshold): what the
-    term's unread blocks may give at most and at least."""
+def plan(blocks: Blocks, index: lexical.Index, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Stored (qid, term, qtf, block) to read, and (qid, term, qtf, left, threshold): what the
+    term's unread blocks may give at most."""
     h = terms.join(blocks.headers, "term")
     h = h.select("qid", "term", "qtf", "block", "size", (F.col("qtf") * F.col("most")).alias("most"), (F.col("qtf") * F.col("least")).alias("least"))
     h = stored(h.withColumn("nth", F.row_number().over(Window.partitionBy("qid", "term").orderBy(F.desc("most"), "block"))), "headers")
     # A document may lack a term: bounds of what a term gives take in zero.
-    bounds = h.groupBy("qid", "term").agg(F.greatest(F.max("most"), F.lit(0.0)).alias("upper"), F.least(F.min("least"), F.lit(0.0)).alias("lower"))
-    whole = bounds.groupBy("qid").agg(F.sum("upper").alias("all"), F.sum("lower").alias("floor"))
+    bounds = h.groupBy("qid", "term").agg(F.greatest(F.max("most"), F.lit(0.0)).alias("upper"))
+    whole = bounds.groupBy("qid").agg(F.sum("upper").alias("all"))
     first = _few(h.where("nth <= 2").select("qid", "term", "qtf", "block"))
     part = blocks.postings.join(first, ["term", "block"]).groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("impact")).alias("part"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("part"), "doc_id"))
-    kth = part.withColumn("place", place).where(F.col("place") == k).select("qid", "part")
-    whole = whole.join(kth, "qid", "left").select("qid", "all", (F.col("part") + F.col("floor")).alias("threshold"))
+    place = lambda by: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(by), "doc_id"))
+    likely = stored(part.withColumn("place", place("part")).where(F.col("place") <= 4 * k).select("qid", "doc_id"), "likely")
+    kth = scored(index, terms, _few(likely), 9).withColumn("place", place("score")).where(F.col("place") == k).select("qid", "score")
+    whole = whole.join(kth, "qid", "left").select("qid", "all", F.col("score").alias("threshold"))
     together = F.sum("upper").over(Window.partitionBy("qid").orderBy("upper", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     h = h.join(whole, "qid").join(bounds.select("qid", "term", "upper", together.alias("together")), ["qid", "term"])
     strong = F.col("together") >= F.col("threshold") - SLACK
@@ -96,12 +107,9 @@ def top(blocks: Blocks, index: lexical.Index, questions: DataFrame, k: int) -> D
 def weighed(blocks: Blocks, index: lexical.Index, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows; the blocks read (qid, term, qtf, block, size); the documents scored in full (qid, doc_id)."""
     terms = stored(lexical.question_terms(questions), "terms")
-    read, left = plan(blocks, terms, k)
+    read, left = plan(blocks, index, terms, k)
     found = blocks.postings.join(_few(read.drop("size")), ["term", "block"]).groupBy("qid", "doc_id").agg(F.sum(F.col("qtf") * F.col("impact")).alias("part"))
     most = left.groupBy("qid").agg(F.sum("left").alias("left"), F.max("threshold").alias("threshold"))
     may = F.col("threshold").isNull() | (F.col("threshold") <= 0) | (F.col("part") + F.col("left") >= F.col("threshold") - SLACK)
     maybe = stored(found.join(most, "qid").where(may).select("qid", "doc_id"), "maybe")
-    # Their postings by document: the terms of other documents' questions fall out in the same join.
-    few = _few(maybe)
-    d = index.postings.join(few, "doc_id").join(terms, ["qid", "term"]).join(index.terms.select("term", "idf"), "term").join(index.docs, "doc_id").join(F.broadcast(index.stats), F.lit(True))
-    return lexical.ranked(lexical.summed(d, ["qid"]).where("score > 0"), ["qid"], k), read, maybe
+    return lexical.ranked(scored(index, terms, _few(maybe)).where("score > 0"), ["qid"], k), read, maybe

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrystone import config
 from quarrystone.functions.text import is_relevant
-from quarrystone.operators import frontier, lexical
+from quarrystone.operators import frontier, lexical, pruned
 from quarrystone.plans import corpus, growth, retrieval  # noqa: F401 - registers the queries
 from quarrystone.plans.base import ORACLES, QUERIES
 
@@ -79,3 +79,14 @@ def test_repeated_ids_are_joined(spark):
     assert index.words is None and {(r["doc_id"], r["term"], r["tf"]) for r in index.postings.collect()} == {(1, "a", 2), (1, "b", 1), (1, "c", 1), (2, "b", 1)}
     q = spark.createDataFrame([(0, "c")], "qid long, text string")
     assert [r["doc_id"] for r in lexical.top(index, q, 3).collect()] == [1]
+
+
+def test_pruned_reads_little_of_terms_that_most_documents_have(spark, tmp_path):
+    """The threshold is a whole score: what each document has doesn't keep its blocks in."""
+    d = spark.createDataFrame([(i, f"the of {'rare words here ' if i % 50 == 0 else ''}{' '.join(f'x{i * j % 97}' for j in range(1, 9))}") for i in range(1000)], "doc_id long, text string")
+    index = lexical.build(d)
+    q = spark.createDataFrame([(0, "the of rare words here")], "qid long, text string")
+    rows, read, _ = pruned.weighed(pruned.build(index, f"{tmp_path}/b", block=16), index, q, 5)
+    key = lambda r: (r["qid"], r["doc_id"], r["score"], r["rank"])
+    assert sorted(map(key, rows.collect())) == sorted(map(key, lexical.top(index, q, 5).collect()))
+    assert (read.agg(F.sum("size")).first()[0] or 0) <= 100
