@@ -4,8 +4,10 @@ Rows (key, hour, digest) come in batches.  The first row of a key opens a window
 up to ``span`` hours later repeat it, a later one closes it and opens the next.  The
 watermark, ``late`` hours behind the largest hour of all earlier batches and kept in the
 checkpoint, drops what comes later than that and times windows out.  Each start of the query
-takes one batch; the micro-batch without data that follows it closes what is past its
-deadline.  At last a sentinel row far in the future lets all that is left time out.
+takes one batch in one micro-batch, as each of these costs a task for every partition of the
+state, however few its rows: what is past its deadline after a batch is closed, as of that batch,
+when the next one is taken.  At last a sentinel row far in the future lets all that is left time
+out, in a micro-batch without data.
 
 A call of a Python worker for a group costs some hundred times as much as the fold of a row.
 So keys share groups by hash: a group's state is a tuple of columns, packed as bytes, with an
@@ -57,8 +59,10 @@ class Chunks:
     def __init__(self):
         self.parts, self.held = [], 0
 
-    def add(self, f: pd.DataFrame) -> None:
+    def add(self, f: pd.DataFrame, least: int | None = None) -> None:
+        """Takes rows of the hour ``least`` and later ones."""
         f = f[f["key"].notna() & f["hour"].notna() & f["digest"].notna()]
+        f = f if least is None else f[f["hour"] >= least]
         if len(f):
             words = np.frombuffer(b"".join(f["digest"]), ">u8").reshape(-1, 4).astype(np.uint64)
             self.parts.append((f["key"].to_numpy(np.int64), f["hour"].to_numpy(np.int64), words, f["n"].to_numpy(np.int64)))
@@ -106,20 +110,23 @@ def unpacked(state: tuple) -> dict[int, list]:
     return {k: [a, b, c, s, bytes(state[5][32 * i : 32 * i + 32])] for i, (k, a, b, c, s) in enumerate(zip(*numbers, strict=True))}
 
 
-def stepped(number: int, before: int, span: int, origin: int) -> Callable:
-    """The fold of a group in batch ``number``; ``before`` is the batch before it."""
+def stepped(number: int, before: int, span: int, origin: int, end: int | None) -> Callable:
+    """The fold of a group in batch ``number``; ``before`` is the batch before it.  A watermark beyond
+    ``end``, the last row's hour, is the sentinel's.  Rows below the watermark are left out here, as
+    Spark drops those of a batch that follows another by the watermark before."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         windows, closed = unpacked(state.get) if state.exists else {}, []
         due = lambda start: (start + span - origin) * HOUR_MS
         limit = state.getCurrentWatermarkMs()
+        as_of = number if end is not None and limit > (end - origin) * HOUR_MS else before
         for k in [k for k, w in windows.items() if due(w[0]) < limit]:
             w = windows.pop(k)
-            closed.append((k, w[0], number if state.hasTimedOut else before, *w[1:]))
+            closed.append((k, w[0], as_of, *w[1:]))
         if not state.hasTimedOut:
             chunks = Chunks()
             for f in frames:
-                chunks.add(f)
+                chunks.add(f, limit // HOUR_MS + origin + 1)
             if chunks.parts:
                 fold(windows, chunks.sorted(), span, number, closed)
         if windows:
@@ -133,15 +140,16 @@ def stepped(number: int, before: int, span: int, origin: int) -> Callable:
     return step
 
 
-def windowed(rows: DataFrame, number: int, before: int, *, span: int = 72, late: int = 48, buckets: int = 64, origin: int = 0) -> DataFrame:
-    """The stream of closed windows of a stream of rows, as batch ``number``.
+def windowed(rows: DataFrame, number: int, before: int, *, span: int = 72, late: int = 48, buckets: int = 64, origin: int = 0, end: int | None = None) -> DataFrame:
+    """The stream of closed windows of a stream of rows, as batch ``number``; windows past their
+    deadline close as of ``before``, but as of ``number`` once the watermark is beyond ``end``.
 
     Hours count from ``origin``, which no row is before, as Spark's first watermark is zero."""
     bucket = F.coalesce(F.pmod(F.xxhash64("key"), F.lit(buckets)), F.lit(-1)).cast("int")
     d = rows.select(bucket.alias("bucket"), "key", "hour", "digest", F.lit(1).cast("long").alias("n")).mapInArrow(combined, "bucket int, key long, hour long, digest binary, n long")
     # Spark drops what is at the watermark too: a millisecond less keeps hours that are just late enough.
     d = d.withColumn("at", F.timestamp_seconds((F.col("hour") - origin + 1) * 3600)).withWatermark("at", f"{late * HOUR_MS + 1} milliseconds")
-    return d.groupBy("bucket").applyInPandasWithState(stepped(number, before, span, origin - 1), WINDOWS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return d.groupBy("bucket").applyInPandasWithState(stepped(number, before, span, origin - 1, end), WINDOWS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def deduplicated(spark: SparkSession, batches: list[tuple[int, str]], root: str, *, last_hour: int, last_batch: int, span: int = 72, late: int = 48, buckets: int = 64, origin: int = 0) -> DataFrame:
@@ -155,13 +163,13 @@ def deduplicated(spark: SparkSession, batches: list[tuple[int, str]], root: str,
         return spark.createDataFrame([], WINDOWS)
     conf, was = "spark.sql.streaming.noDataMicroBatches.enabled", spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
     spark.createDataFrame([(None, last_hour + span + late + FAR, None)], ROWS).write.parquet(f"{root}/sentinel")
-    spark.conf.set(conf, "true")
     try:
         before = batches[0][0]
         for number, folder in [*batches, (last_batch, f"{root}/sentinel")]:
+            spark.conf.set(conf, str(folder == f"{root}/sentinel").lower())
             # A pattern, so that the source may find the last batch again, which lies in another folder.
             rows = spark.readStream.schema(ROWS).parquet(f"{folder}/*.parquet")
-            d = windowed(rows, number, before, span=span, late=late, buckets=buckets, origin=origin)
+            d = windowed(rows, number, before, span=span, late=late, buckets=buckets, origin=origin, end=last_hour)
             d.writeStream.format("parquet").option("path", f"{root}/windows").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
             before = number
     finally:
