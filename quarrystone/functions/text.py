@@ -17,9 +17,14 @@ def text(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def lexical_words(col: Column) -> Column:
+    """Lower case, punctuation deleted (not replaced)."""
+    return F.regexp_replace(F.lower(text(col)), r"[^\p{L}\p{N}_\s]", "")
+
+
 def lexical_tokens(col: Column) -> Column:
-    """Lower case, punctuation deleted (not replaced), split at white space."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text(col)), r"[^\p{L}\p{N}_\s]", ""), r"\s+"), lambda x: x != "")
+    """The words, split at white space."""
+    return F.filter(F.split(lexical_words(col), r"\s+"), lambda x: x != "")
 
 
 def clean(col: Column) -> Column:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import lexical_tokens
+from quarrystone.functions.text import lexical_tokens, lexical_words
 from quarrystone.sources.shared import few, is_there, renamed, shared_dir, version_of
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -43,23 +43,27 @@ class Index:
 
 
 def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, len, terms, tfs) of texts: a document's terms are counted where it is read."""
+    """(doc_id, len, terms, tfs) of texts: a document's terms are counted where it is read.  Words are
+    split by Arrow at the white space that ``lexical_tokens`` splits at (tab to carriage return, space)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, COUNTED):
                 batch = whole.slice(at, COUNTED)
-                tokens = batch.column("tokens")
-                length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
-                coded = tokens.flatten().dictionary_encode()
+                split = pc.ascii_split_whitespace(batch.column("words"))
+                of, tokens = pc.list_parent_indices(split), split.flatten()
+                on = pc.not_equal(tokens, "")  # white space at the ends
+                of, tokens = of.filter(on).to_numpy(), tokens.filter(on)
+                length = np.bincount(of, minlength=len(split))
+                coded = tokens.dictionary_encode()
                 n = max(1, len(coded.dictionary))
-                key, tf = np.unique(np.repeat(np.arange(len(length)), length) * n + coded.indices.to_numpy(), return_counts=True)
+                key, tf = np.unique(of * n + coded.indices.to_numpy(), return_counts=True)
                 starts = pa.array(np.searchsorted(key, np.arange(len(length) + 1) * n).astype(np.int32))
                 terms = pa.ListArray.from_arrays(starts, coded.dictionary.take(pa.array(key % n)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(length), terms, pa.ListArray.from_arrays(starts, pa.array(tf))], ["doc_id", "len", "terms", "tfs"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), lexical_tokens(F.col(text)).alias("tokens")).mapInArrow(count, f"doc_id {kind}, len long, terms array<string>, tfs array<long>")
+    return docs.select(F.col(doc_id).alias("doc_id"), lexical_words(F.col(text)).alias("words")).mapInArrow(count, f"doc_id {kind}, len long, terms array<string>, tfs array<long>")
 
 
 def postings_of(words: DataFrame, *more: str) -> DataFrame:

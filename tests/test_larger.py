@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarrystone import config
-from quarrystone.functions.text import is_relevant
+from quarrystone.functions.text import is_relevant, lexical_tokens
 from quarrystone.operators import frontier, lexical, pruned
 from quarrystone.plans import corpus, growth, retrieval  # noqa: F401 - registers the queries
 from quarrystone.plans.base import ORACLES, QUERIES
@@ -90,3 +92,21 @@ def test_pruned_reads_little_of_terms_that_most_documents_have(spark, tmp_path):
     key = lambda r: (r["qid"], r["doc_id"], r["score"], r["rank"])
     assert sorted(map(key, rows.collect())) == sorted(map(key, lexical.top(index, q, 5).collect()))
     assert (read.agg(F.sum("size")).first()[0] or 0) <= 100
+
+
+def test_words_are_split_at_the_white_space_of_tokens(spark):
+    """Arrow splits where documents are read, and Spark makes no array of words before; every other space stays in a word."""
+    ends = [chr(c) for c in (*range(0, 48), 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x3000, 0xFEFF)]
+    d = spark.createDataFrame([*enumerate(f"{a}Ab{a}ab {b}cD{b}{a}" for a in ends for b in ends), (-1, None), (-2, ""), (-3, " \n ")], "doc_id long, text string")
+    words = lexical.counted(d, "doc_id", "text")
+    assert "split(" not in words._jdf.queryExecution().toString()
+    wanted = {i: Counter(t) for i, t in d.select("doc_id", lexical_tokens(F.col("text"))).collect()}
+    got = {r["doc_id"]: (r["len"], Counter(dict(zip(r["terms"], r["tfs"], strict=True)))) for r in words.collect()}
+    assert got == {i: (t.total(), t) for i, t in wanted.items()}
+
+
+@pytest.mark.parametrize("name", ["result_analytics", "diversify"])
+def test_pools_are_made_without_joined_postings(spark, monkeypatch, name):
+    """No task sorts or sums pairs of a question and a document: candidates come from each task's best."""
+    monkeypatch.setattr(lexical, "scores", lambda *_: pytest.fail("postings were joined with questions"))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
