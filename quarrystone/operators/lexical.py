@@ -28,14 +28,15 @@ SUMMED = 4_000_000
 @dataclass(frozen=True)
 class Index:
     """postings (doc_id, term, tf), docs (doc_id, len), terms (term, idf), stats (n, avgdl), and words
-    (doc_id, len, terms, tfs), the postings by document: frames.  Without words (a doc_id came
-    twice) scores are joined."""
+    (doc_id, len, terms, tfs), the postings by document: frames.  Where a doc_id came twice there are
+    no words but ``merged`` ones; without either, scores are joined."""
 
     postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     stats: DataFrame
     words: DataFrame | None = None
+    merged: DataFrame | None = None
 
     def consistent(self) -> bool:
         """As many documents as the statistics say; else the lexical arm must stay off."""
@@ -77,6 +78,20 @@ def by_document(postings: DataFrame, docs: DataFrame) -> DataFrame:
     return d.join(docs, "doc_id").select("doc_id", "len", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs"))
 
 
+def merged(words: DataFrame) -> DataFrame:
+    """(doc_id, lens, times, terms, tfs), a row for each doc_id.  Rows that share one (or have none) are one
+    document: its terms are added up, and weighed with each length as often as rows have it.  Only
+    such rows are added up."""
+    twice = few(words.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "twice")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    once = words.join(twice, same, "left_anti").select("doc_id", F.array("len").alias("lens"), F.array(F.lit(1).cast("long")).alias("times"), "terms", "tfs")
+    more = words.join(twice, same, "left_semi")
+    tfs = postings_of(more).groupBy(F.col("doc_id").alias("id"), "term").agg(F.sum("tf").alias("tf")).groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("x"))
+    lens = more.groupBy("doc_id", "len").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("len", "n")).alias("y"))
+    d = lens.join(tfs, same, "left").withColumn("x", F.coalesce("x", F.array().cast("array<struct<term:string,tf:bigint>>")))
+    return once.unionByName(d.select("doc_id", F.col("y.len").alias("lens"), F.col("y.n").alias("times"), F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs")))
+
+
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str | None = None) -> Index:
     """Tokenizes texts once and writes the words by document; only terms and their numbers of
     documents are shuffled, added up before.  Rows that share a doc_id are one document's postings."""
@@ -88,13 +103,13 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", root: str
         return spark.read.schema(d.schema).parquet(f"{root}/{name}")
 
     words = kept(counted(docs, doc_id, text), "words")
-    lengths, postings = words.select("doc_id", "len"), postings_of(words)
+    lengths, one = words.select("doc_id", "len"), words
     if repeated := bool(lengths.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)):
-        postings = kept(postings.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")), "postings")
+        one = kept(merged(words), "merged")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    each = postings if repeated else words.select(F.explode("terms").alias("term"))
+    each = one.select(F.explode("terms").alias("term"))
     terms = kept(weighted_terms(kept(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts"), stats), "terms")
-    return Index(postings, lengths, terms, kept(stats, "stats"), None if repeated else words)
+    return Index(postings_of(one), lengths, terms, kept(stats, "stats"), *((None, one) if repeated else (words,)))
 
 
 def weighted_terms(counts: DataFrame, stats: DataFrame) -> DataFrame:
@@ -108,9 +123,8 @@ def weighted_terms(counts: DataFrame, stats: DataFrame) -> DataFrame:
 def load(spark, path: str) -> Index:
     """Raises if the tables don't belong together."""
     words, terms, stats = (spark.read.parquet(f"{path}/{name}") for name in ("words", "terms", "stats"))
-    repeated = is_there(spark, f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings") if repeated else postings_of(words)
-    index = Index(postings, words.select("doc_id", "len"), terms, stats, None if repeated else words)
+    one = spark.read.parquet(f"{path}/merged") if is_there(spark, f"{path}/merged") else None
+    index = Index(postings_of(words if one is None else one), words.select("doc_id", "len"), terms, stats, words if one is None else None, one)
     if not index.consistent():
         raise ValueError("the index has other documents than its statistics")
     return index
@@ -120,7 +134,7 @@ def of_snapshot(docs: DataFrame, path: str, **columns) -> Index:
     """The index of the table at a path, built once for each version of it and kept in the
     shared folder; what is half written stands beside and is never read."""
     spark = docs.sparkSession
-    root = f"{shared_dir(spark)}/lexical-{version_of(spark, path)}"
+    root = f"{shared_dir(spark)}/lexical-by-id-{version_of(spark, path)}"
     if not is_there(spark, f"{root}/stats/_SUCCESS"):
         by = f"{root}.{uuid.uuid4().hex}"
         build(docs, root=by, **columns)
@@ -153,6 +167,11 @@ def ranked(scored: DataFrame, keys: list[str], most: int | Column, *ties: str) -
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each ``first`` on."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 def _pass(index: Index, weights: DataFrame, most: int, digits: int) -> DataFrame:
     """(qid, doc_id, score): the ``most`` best of each question in each task."""
     rows = weights.sort("qid", "v").toArrow().combine_chunks()
@@ -167,7 +186,8 @@ def _pass(index: Index, weights: DataFrame, most: int, digits: int) -> DataFrame
     order = np.argsort(of_term, kind="stable")
     first = np.searchsorted(of_term[order], np.arange(len(names) + 1))
     avgdl = index.stats.first()["avgdl"] or 1.0
-    shared = index.words.sparkSession.sparkContext.broadcast((names, first, column[order], rows.column("w").to_numpy()[order], ids[starts], starts, len(ids)))
+    words = index.merged if index.words is None else index.words.withColumns({"lens": F.array("len"), "times": F.array(F.lit(1).cast("long"))})
+    shared = words.sparkSession.sparkContext.broadcast((names, first, column[order], rows.column("w").to_numpy()[order], ids[starts], starts, len(ids)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, first, column, weight, ids, starts, wide = shared.value
@@ -194,9 +214,13 @@ def _pass(index: Index, weights: DataFrame, most: int, digits: int) -> DataFrame
                 on = np.flatnonzero(of >= 0)
                 doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(terms).to_numpy())[on]
                 of, tf = of[on], tf[on]
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * batch.column("len").to_numpy()[doc] / avgdl))
+                lens, times = batch.column("lens"), batch.column("times").flatten().to_numpy()
+                over, n_lens = K1 * (1 - B + B * lens.flatten().to_numpy() / avgdl), pc.list_value_length(lens).to_numpy()
+                count = n_lens[doc]
+                to, i = _ranges((np.cumsum(n_lens) - n_lens)[doc], count), np.repeat(np.arange(len(doc)), count)
+                part = np.bincount(i, times[to] * (tf[i] * (K1 + 1) / (tf[i] + over[to])), len(doc))
                 count = first[of + 1] - first[of]
-                to = np.repeat(first[of] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                to = _ranges(first[of], count)
                 s = np.bincount(np.repeat(doc * wide, count) + column[to], np.repeat(part, count) * weight[to], batch.num_rows * wide).reshape(-1, wide)
                 s = np.maximum.reduceat(s, starts, axis=1) if len(starts) < wide else s
                 s = np.floor(s * 10**digits + 0.5) / 10**digits
@@ -212,8 +236,8 @@ def _pass(index: Index, weights: DataFrame, most: int, digits: int) -> DataFrame
                 q, s, k = (x[at : at + 100_000] for x in held)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(k), pa.array(s)], ["qid", "doc_id", "score"])
 
-    kinds = dict(weights.dtypes) | dict(index.words.dtypes)
-    return index.words.where("doc_id is not null").select("doc_id", "len", "terms", "tfs").mapInArrow(blocks, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
+    kinds = dict(weights.dtypes) | dict(words.dtypes)
+    return words.where("doc_id is not null").select("doc_id", "lens", "times", "terms", "tfs").mapInArrow(blocks, f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, score double")
 
 
 def best(index: Index, terms: DataFrame, most: int, variant: str | None = None, digits: int = 4) -> DataFrame:
@@ -224,7 +248,7 @@ def best(index: Index, terms: DataFrame, most: int, variant: str | None = None,
     and keeps the ``most`` best of each question, so what is shuffled follows tasks and questions,
     and no pair of a question and a document is a row.  Questions' terms are counted before they are
     fetched and go to the workers in as many passes as their bound asks for."""
-    if index.words is None:
+    if index.words is None and index.merged is None:
         found = scores(index, terms, ["qid", variant] if variant else ["qid"], digits).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
         return ranked(found.where("score > 0"), ["qid"], most)
     terms = terms.where("qid is not null")

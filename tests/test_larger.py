@@ -110,3 +110,22 @@ def test_pools_are_made_without_joined_postings(spark, monkeypatch, name):
     """No task sorts or sums pairs of a question and a document: candidates come from each task's best."""
     monkeypatch.setattr(lexical, "scores", lambda *_: pytest.fail("postings were joined with questions"))
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize("name", ["result_analytics", "diversify", "bm25_topk"])
+def test_ids_that_come_twice_join_no_postings(spark, tmp_path, monkeypatch, name):
+    """Rows that share an id, or have none, are one document's words with each row's length, summed where they are read."""
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    again = d.where("doc_id % 9 = 0").withColumn("text", F.reverse(F.lower("text"))).unionByName(d.where("doc_id % 18 = 0")).unionByName(d.where("doc_id % 36 = 0"))
+    none = d.where("doc_id % 50 = 1").withColumn("doc_id", F.lit(None).cast("long"))
+    empty = d.where("doc_id in (7, 9)").withColumn("text", F.lit("")).unionByName(d.limit(2).withColumn("doc_id", F.lit(777_777).cast("long")).withColumn("text", F.lit(" ")))
+    d.unionByName(again).unionByName(none).unionByName(empty).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for t in ("benchmark", "embeddings"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    monkeypatch.setattr(lexical, "scores", lambda *_: pytest.fail("postings were joined with questions"))
+    got = [sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) for _ in range(2)]
+    assert got[0] == got[1] == sorted(con.execute(ORACLES[name]).fetchall())
