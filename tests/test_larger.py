@@ -129,3 +129,45 @@ def test_ids_that_come_twice_join_no_postings(spark, tmp_path, monkeypatch, name
     monkeypatch.setattr(lexical, "scores", lambda *_: pytest.fail("postings were joined with questions"))
     got = [sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()) for _ in range(2)]
     assert got[0] == got[1] == sorted(con.execute(ORACLES[name]).fetchall())
+
+
+def shuffled(spark, run) -> int:
+    """Rows that a run writes to shuffles."""
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def test_pruned_shuffles_blocks_and_no_postings(spark, tmp_path):
+    """Nor pairs of a question and a document: many middling terms bring up most documents of each question."""
+    d = spark.createDataFrame([(i, " ".join(f"x{i * j % 211}" for j in range(1, 60))) for i in range(2000)], "doc_id long, text string")
+    index = lexical.build(d)
+    q = spark.createDataFrame([(n, " ".join(f"x{n * 7 + j}" for j in range(30))) for n in range(5)], "qid long, text string")
+    found, postings = [], index.postings.count()
+    n = shuffled(spark, lambda: found.extend(pruned.top(pruned.build(index, f"{tmp_path}/b"), index, q, 5).collect()))
+    key = lambda r: (r["qid"], r["doc_id"], r["score"], r["rank"])
+    assert sorted(map(key, found)) == sorted(map(key, lexical.top(index, q, 5).collect()))
+    assert postings > 90_000 and n < postings / 5
+
+
+def test_pruned_weighs_repeated_ids_with_each_length(spark, tmp_path, monkeypatch):
+    """Over many segments, and where questions take several passes."""
+    monkeypatch.setattr(pruned, "SEGMENT", 40)
+    monkeypatch.setattr(pruned, "TAKEN", 4)
+    rows = [(i % 70, " ".join(f"w{i * j % 13}" for j in range(1, 3 + i % 9))) for i in range(100)] + [(None, "w1 w2")]
+    index = lexical.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    q = spark.createDataFrame([("a", "w1 w2 w3"), ("b", "w4 w4 w0"), ("c", "w12"), (None, "w1")], "qid string, text string")
+    blocks = pruned.build(index, f"{tmp_path}/b", block=4)
+    assert index.merged is not None and blocks.headers.select("segment").distinct().count() > 5
+    key = lambda r: (r["qid"], r["doc_id"], r["score"], r["rank"])
+    want = sorted(map(key, lexical.top(index, q, 6).collect()))
+    assert sorted(map(key, pruned.top(blocks, index, q, 6).collect())) == want
+    monkeypatch.setattr(lexical, "MOST_TERMS", 3)
+    assert sorted(map(key, pruned.top(blocks, index, q, 6).collect())) == want
